@@ -1,8 +1,13 @@
 """The queries of this subpackage, by name, and their DuckDB counterparts where SQL can say them."""
 
-from . import bpe
+from . import bpe, decontam, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op6_decontamination": decontam.op6_decontamination,
     "op9_bpe": bpe.op9_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
+    "op6_decontamination": decontam.OP6_SQL,
+}
