@@ -60,7 +60,7 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """A record for each row of pages (page_id, url, html): response, or revisit of an equal payload.
 
     The largest page_id of a digest is found by a partial aggregation, so a group
@@ -92,7 +92,7 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T0
         http,
         F.when(revisit, F.lit("")).otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).text(path, compression=compression)
 
 
 class FilePart(InputPartition):

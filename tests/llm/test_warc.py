@@ -19,11 +19,11 @@ ROWS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def archive(spark, tmp_path_factory):
+@pytest.fixture(scope="module", params=["none", "gzip"])
+def archive(spark, tmp_path_factory, request):
     path = f"file://{tmp_path_factory.mktemp('warc')}/out"
     extra = spark.createDataFrame([(*r, "z") for r in ROWS], "page_id long, url string, html string, digest string")
-    warc.write(extra.repartition(3), path)
+    warc.write(extra.repartition(3), path, compression=request.param)
     return path
 
 
