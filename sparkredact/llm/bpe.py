@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pretokens that a worker remembers, and the longest one worth remembering.
-REMEMBERED, LONGEST = 250_000, 48
+#: Distinct pretokens that a worker remembers, and their ids together.
+REMEMBERED, LONGEST_IDS = 150_000, 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,114 +47,198 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pair_rank: dict[tuple[int, int], int] = {}
-
-    def _rank(self, left: int, right: int) -> int:
-        """The rank of the token that left and right make, -1 where there is none."""
-        found = self.pair_rank.get((left, right))
-        if found is None:
-            found = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            if len(self.pair_rank) > 1_000_000:
-                self.pair_rank.clear()
-            self.pair_rank[left, right] = found
-        return found
-
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list = [None] * len(words)
-        symbols: list[int] = []
-        after: list[int] = []  # next position in the word, -1 at its end
-        before: list[int] = []
-        heads: list[tuple[int, int]] = []
-        for w, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[w] = (whole,)
-            elif not word:
-                out[w] = ()
-            else:
-                start, n = len(symbols), len(word)
-                symbols.extend(map(self.single.__getitem__, word))
-                after.extend(range(start + 1, start + n))
-                after.append(-1)
-                before.append(-1)
-                before.extend(range(start, start + n - 1))
-                heads.append((w, start))
-        places: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (rank := self._rank(symbols[i], symbols[j])) >= 0:
-                places.setdefault(rank, []).append(i)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # The rank of each pair of bytes, -1 where they don't merge.
+        self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        self.pair_rank: dict[int, int] = {}
+
+    def _made(self, pair: int) -> int:
+        """The rank of the token that a pair (left << 32 | right) makes, -1 where there is none."""
+        made = self.ranks.get(self.bytes_of[pair >> 32] + self.bytes_of[pair & 0xFFFFFFFF], -1)
+        if len(self.pair_rank) > 300_000:
+            self.pair_rank.clear()
+        self.pair_rank[pair] = made
+        return made
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has."""
+        whole = list(map(self.ranks.get, words))
+        split = [w for w, rank in zip(words, whole, strict=True) if rank is None]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        raw = np.frombuffer(b"".join(split), np.uint8).astype(np.int64)
+        ends = np.cumsum(lengths)
+        ids, counts = self._replay(raw, ends, lengths)
+        out_counts = np.ones(len(words), np.int64)
+        missed = np.array([rank is None for rank in whole], bool)
+        out_counts[missed] = counts
+        out = np.empty(out_counts.sum(), np.int64)
+        from_split = np.repeat(missed, out_counts)
+        out[from_split] = ids
+        out[~from_split] = [rank for rank in whole if rank is not None]
+        return out, out_counts
+
+    def _replay(self, raw: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(raw)
+        last = np.zeros(n, bool)
+        last[ends[lengths > 0] - 1] = True
+        first = np.concatenate([[True], last[:-1]])[:n]
+        at = np.arange(n)
+        after: list[int] = np.where(last, -1, at + 1).tolist()  # next position in the word, -1 at its end
+        before: list[int] = np.where(first, -1, at - 1).tolist()
+        symbols: list[int] = self.single[raw].tolist()
+        # The inverted index: where the pair of each rank stands.
+        found = np.flatnonzero(~last[:-1]) if n else at
+        ranks = self.byte_pairs[raw[found] * 256 + raw[found + 1]] if len(found) else found
+        found, ranks = found[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        present, starts = np.unique(ranks[order], return_index=True)
+        places: dict[int, list[int]] = {r: group.tolist() for r, group in zip(present.tolist(), np.split(found[order], starts[1:]), strict=False)}
         queue = list(places)
         heapq.heapify(queue)
+        rank_of, made_by, push = self.pair_rank.get, self._made, heapq.heappush
         while queue:
             rank = heapq.heappop(queue)
             todo = places.pop(rank, None)
             if not todo:
                 continue
-            todo.sort()
+            if len(todo) > 1:
+                todo.sort()
             for k, i in enumerate(todo):
                 j = after[i]
-                if symbols[i] < 0 or j < 0 or self._rank(symbols[i], symbols[j]) != rank:
+                left = symbols[i]
+                if j < 0 or left < 0:
+                    continue
+                pair = left << 32 | symbols[j]
+                made = rank_of(pair)
+                if made is None:
+                    made = made_by(pair)
+                if made != rank:
                     continue
                 symbols[i], symbols[j] = rank, -1
-                after[i] = n = after[j]
+                after[i] = nxt = after[j]
+                prev = before[i]
                 lower = False
-                if n >= 0:
-                    before[n] = i
-                    if (made := self._rank(rank, symbols[n])) >= 0:
-                        lower |= made < rank
+                if nxt >= 0:
+                    before[nxt] = i
+                    pair = rank << 32 | symbols[nxt]
+                    made = rank_of(pair)
+                    if made is None:
+                        made = made_by(pair)
+                    if made >= 0:
+                        lower = made < rank
                         if made in places:
                             places[made].append(i)
                         else:
                             places[made] = [i]
-                            heapq.heappush(queue, made)
-                if (p := before[i]) >= 0 and (made := self._rank(symbols[p], rank)) >= 0:
-                    lower |= made < rank
-                    if made in places:
-                        places[made].append(p)
-                    else:
-                        places[made] = [p]
-                        heapq.heappush(queue, made)
+                            push(queue, made)
+                if prev >= 0:
+                    pair = symbols[prev] << 32 | rank
+                    made = rank_of(pair)
+                    if made is None:
+                        made = made_by(pair)
+                    if made >= 0:
+                        lower = lower or made < rank
+                        if made in places:
+                            places[made].append(prev)
+                        else:
+                            places[made] = [prev]
+                            push(queue, made)
                 if lower:  # an earlier merge became possible: it goes before the rest of this one
                     rest = todo[k + 1 :] + places.get(rank, [])
                     if rest:
                         places[rank] = rest
-                        heapq.heappush(queue, rank)
+                        push(queue, rank)
                     break
-        for w, i in heads:
-            ids = []
-            while i >= 0:
-                ids.append(symbols[i])
-                i = after[i]
-            out[w] = tuple(ids)
-        return out
+        left = np.array(symbols, np.int64)
+        kept = np.concatenate([[0], np.cumsum(left >= 0)])
+        return left[left >= 0], kept[ends] - kept[ends - lengths]
+
+
+def explicit(pattern: str) -> str:
+    """pattern with its property and white-space classes spelled out, which the re module then takes."""
+    classes = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        member = regex.compile(name).fullmatch
+        codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and member(chr(c))]
+        runs: list[list[int]] = []
+        for c in codes:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        classes[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        name = next((x for x in (r"\p{L}", r"\p{N}", r"\s", r"\S") if pattern.startswith(x, i)), pattern[i])
+        if name == r"\S" and inside:
+            raise ValueError("a negated class inside another is not spelled out")
+        if name in classes or name == r"\S":
+            own = classes[name.lower() if name == r"\S" else name]
+            out += own if inside else f"[{'^' * (name == chr(92) + 'S')}{own}]"
+        else:
+            inside = {"[": True, "]": False}.get(name, inside)
+            out += name
+        i += len(name)
+    return out
+
+
+def gathered(table: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """table[start : start + count] for each start and count, one after another."""
+    ends = np.cumsum(counts)
+    return table[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Codec:
     """Text to ids and back, remembering pretokens."""
 
     def __init__(self, path: str, pattern: str):
-        self.replay = MergeReplay(read_ranks(path))
-        self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
+        ranks = read_ranks(path)
+        self.replay = MergeReplay(ranks)
+        try:
+            self.find = re.compile(explicit(pattern)).findall
+        except (re.error, ValueError):
+            self.find = regex.compile(pattern).findall
+        top = max(ranks.values()) + 1
+        tokens = [self.replay.bytes_of.get(i, b"") for i in range(top)]
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_lengths = np.fromiter(map(len, tokens), np.int64, top)
+        self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
         split = [self.find(text) for text in texts]
-        fresh = list(set(chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
+        fresh = list(set(chain.from_iterable(split)).difference(self.number))
+        if len(self.number) + len(fresh) > REMEMBERED and self.number:
+            self._forget()
             fresh = list(set(chain.from_iterable(split)))
-        made = dict(zip(fresh, self.replay.encode([w.encode() for w in fresh]), strict=True))
-        self.known.update(made)
-        get = self.known.__getitem__
-        out = [list(chain.from_iterable(map(get, words))) for words in split]
-        for word in made:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return out
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.replay.bytes_of.__getitem__, ids))
+        made, counts = self.replay.encode([w.encode() for w in fresh])
+        self.number.update(zip(fresh, range(len(self.counts), len(self.counts) + len(fresh)), strict=True))
+        self.ids = np.concatenate([self.ids, made.astype(np.int32)])
+        self.counts = np.concatenate([self.counts, counts])
+        words = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, words.sum())
+        per_word = self.counts[numbers]
+        out = gathered(self.ids, (np.cumsum(self.counts) - self.counts)[numbers], per_word)
+        total = np.concatenate([[0], np.cumsum(per_word)])
+        ends = np.cumsum(words)
+        if len(self.ids) > LONGEST_IDS:
+            self._forget()
+        return out, total[ends] - total[ends - words]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0].tolist()
+
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts in a row, and how many each text has."""
+        lengths = self.token_lengths[ids]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(counts)
+        return gathered(self.token_bytes, self.token_starts[ids], lengths), total[ends] - total[ends - counts]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -164,24 +251,44 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def listed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """ids in a row, and how many each text has, as a list for each text."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def binaries(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Bytes in a row, and how many each text has, as a binary for each text."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """docs (text and the columns in keep) with token_ids array<int> in place of text."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """docs (text and the columns in keep) with token_ids array<int> in place of text.
+
+    With decoded, the bytes that the ids decode to stand besides, from the same
+    pass: a second one would be a second Python worker for each task.
+    """
     keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), F.col("text").cast("string").alias("text"))
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch):
-                ids = pa.array(own.encode_batch(_texts(part)), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), ids], names=[*part.schema.names[:-1], "token_ids"])
+            for part in slices(batch, chars=1 << 20):
+                ids, counts = own.encode_batch(_texts(part))
+                made = [listed(ids, counts)]
+                if decoded:
+                    made.append(binaries(*own.decode_batch(ids, counts)))
+                names = [*part.schema.names[:-1], "token_ids", *["decoded"] * decoded]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), *made], names=names)
 
-    return source.mapInArrow(run, f"{kept}, token_ids array<int>" if kept else "token_ids array<int>")
+    out = source.mapInArrow(run, f"{kept}token_ids array<int>{', decoded binary' * decoded}")
+    return out.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keep)})
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
@@ -195,8 +302,10 @@ def decode(tokens: DataFrame, path: str, pattern: str, keep: list[str] | None =
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                raw = pa.array([own.decode(ids) for ids in part.column("token_ids").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, raw], names=[*part.schema.names, "decoded"])
+                ids = part.column("token_ids")
+                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                decoded = binaries(*own.decode_batch(ids.flatten().to_numpy(zero_copy_only=False), counts))
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     return source.mapInArrow(run, f"{fields}, decoded binary")
 
@@ -210,7 +319,7 @@ def tokenizer() -> tuple[str, str]:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
-    both = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    both = encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
