@@ -1,13 +1,15 @@
 """The queries of this subpackage, by name, and their DuckDB counterparts where SQL can say them."""
 
-from . import bpe, decontam, warc
+from . import bpe, decontam, neardup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op3_neardup": neardup.op3_neardup,
     "op6_decontamination": decontam.op6_decontamination,
     "op9_bpe": bpe.op9_bpe,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
+    "op3_neardup": neardup.OP3_SQL,
     "op6_decontamination": decontam.OP6_SQL,
 }
