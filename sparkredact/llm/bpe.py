@@ -33,7 +33,7 @@ from .common import slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pretokens that a worker remembers, and their ids together.
-REMEMBERED, LONGEST_IDS = 150_000, 2_000_000
+REMEMBERED, LONGEST_IDS = 300_000, 3_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,15 +50,9 @@ class MergeReplay:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # The rank of each pair of bytes, -1 where they don't merge.
         self.byte_pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
-        self.pair_rank: dict[int, int] = {}
-
-    def _made(self, pair: int) -> int:
-        """The rank of the token that a pair (left << 32 | right) makes, -1 where there is none."""
-        made = self.ranks.get(self.bytes_of[pair >> 32] + self.bytes_of[pair & 0xFFFFFFFF], -1)
-        if len(self.pair_rank) > 300_000:
-            self.pair_rank.clear()
-        self.pair_rank[pair] = made
-        return made
+        # The token that each mergeable pair (left << 32 | right) makes.
+        self.pairs = {left << 32 | right: made for token, made in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
+        self.top = max(ranks.values()) + 1
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has."""
@@ -92,62 +86,56 @@ class MergeReplay:
         found, ranks = found[ranks >= 0], ranks[ranks >= 0]
         order = np.argsort(ranks, kind="stable")
         present, starts = np.unique(ranks[order], return_index=True)
-        places: dict[int, list[int]] = {r: group.tolist() for r, group in zip(present.tolist(), np.split(found[order], starts[1:]), strict=False)}
-        queue = list(places)
-        heapq.heapify(queue)
-        rank_of, made_by, push = self.pair_rank.get, self._made, heapq.heappush
-        while queue:
-            rank = heapq.heappop(queue)
-            todo = places.pop(rank, None)
-            if not todo:
+        places: list[list[int] | None] = [None] * self.top
+        for r, group in zip(present.tolist(), np.split(found[order], starts[1:]), strict=False):
+            places[r] = group.tolist()
+        waiting = np.full(n, -1, np.int64)  # the rank of the pair that begins at a position
+        waiting[found] = ranks
+        waiting = waiting.tolist()
+        made_by, early, r = self.pairs.get, [], -1
+        while True:
+            if early:
+                rank = heapq.heappop(early)
+            else:
+                r += 1
+                if r == self.top:
+                    break
+                rank = r
+            todo = places[rank]
+            if todo is None:
                 continue
+            places[rank] = None
             if len(todo) > 1:
                 todo.sort()
             for k, i in enumerate(todo):
-                j = after[i]
-                left = symbols[i]
-                if j < 0 or left < 0:
-                    continue
-                pair = left << 32 | symbols[j]
-                made = rank_of(pair)
-                if made is None:
-                    made = made_by(pair)
-                if made != rank:
+                if waiting[i] != rank:
                     continue
-                symbols[i], symbols[j] = rank, -1
+                j = after[i]
+                symbols[i], symbols[j], waiting[j] = rank, -1, -1
                 after[i] = nxt = after[j]
-                prev = before[i]
-                lower = False
+                waiting[i] = made = -1
                 if nxt >= 0:
                     before[nxt] = i
-                    pair = rank << 32 | symbols[nxt]
-                    made = rank_of(pair)
-                    if made is None:
-                        made = made_by(pair)
+                    made = made_by(rank << 32 | symbols[nxt], -1)
                     if made >= 0:
-                        lower = made < rank
-                        if made in places:
-                            places[made].append(i)
-                        else:
+                        waiting[i] = made
+                        if (place := places[made]) is None:
                             places[made] = [i]
-                            push(queue, made)
+                        else:
+                            place.append(i)
+                prev, other = before[i], -1
                 if prev >= 0:
-                    pair = symbols[prev] << 32 | rank
-                    made = rank_of(pair)
-                    if made is None:
-                        made = made_by(pair)
-                    if made >= 0:
-                        lower = lower or made < rank
-                        if made in places:
-                            places[made].append(prev)
+                    waiting[prev] = other = made_by(symbols[prev] << 32 | rank, -1)
+                    if other >= 0:
+                        if (place := places[other]) is None:
+                            places[other] = [prev]
                         else:
-                            places[made] = [prev]
-                            push(queue, made)
-                if lower:  # an earlier merge became possible: it goes before the rest of this one
-                    rest = todo[k + 1 :] + places.get(rank, [])
-                    if rest:
-                        places[rank] = rest
-                        push(queue, rank)
+                            place.append(prev)
+                if 0 <= made <= rank or 0 <= other <= rank:  # an earlier merge became possible: it goes before the rest of this one
+                    rest = todo[k + 1 :] + (places[rank] or [])
+                    places[rank] = rest or None
+                    early += [x for x in {made, other, rank} if x >= 0 and places[x] is not None and x <= rank]
+                    heapq.heapify(early)
                     break
         left = np.array(symbols, np.int64)
         kept = np.concatenate([[0], np.cumsum(left >= 0)])
