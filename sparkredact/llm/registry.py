@@ -1,11 +1,13 @@
 """The queries of this subpackage, by name, and their DuckDB counterparts where SQL can say them."""
 
-from . import bpe, decontam, neardup, warc
+from . import bpe, decontam, neardup, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_neardup": neardup.op3_neardup,
+    "op4_quality": quality.op4_quality,
     "op6_decontamination": decontam.op6_decontamination,
+    "op7_secrets": secrets.op7_secrets,
     "op9_bpe": bpe.op9_bpe,
 }
 ORACLES: dict[str, str] = {
