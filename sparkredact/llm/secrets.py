@@ -39,7 +39,7 @@ from .common import slices, table
 #: Snippets around findings and snippets from anywhere that the field learns from, and their code points.
 SAMPLE, SNIPPET = 400, 500
 #: Copies of a snippet with another value and key word.
-REWRITTEN = 2
+REWRITTEN = 3
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")

@@ -30,7 +30,7 @@ def brute(text):
 
 
 def test_base_and_added_spans(spark, tmp_path):
-    data = rows() + [(300, 'config "auth": "Zk83hQpLmW02xYt7RbNv5sDc91Ge" end')]
+    data = rows()
     spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, findings int").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     got = secrets.op7_secrets(spark, str(tmp_path)).collect()
     assert len(got) == len(data)
@@ -43,8 +43,15 @@ def test_base_and_added_spans(spark, tmp_path):
         listed = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [s for s in r.spans.split(",") if s and not s.startswith("crf")] == [s for s in listed.split(",") if s]
-    added = {r.doc_id: r.spans for r in got if "crf" in r.spans}
-    assert 300 in added and not any(d and 100 <= d < 160 for d in added)
+    assert not any("crf" in r.spans for r in got if r.doc_id and 100 <= r.doc_id < 160)
+
+
+def test_the_field_knows_more_than_the_patterns(spark):
+    field = secrets.learn(spark.createDataFrame(rows(), "doc_id long, text string"))
+    for text in ('config "auth": "Zk83hQpLmW02xYt7RbNv5sDc91Ge" end', "the auth key: QLZ7RY2KPM3XW5TAHUVB4DNE of tion"):
+        assert not secrets.base_findings(text)
+        (found,) = secrets.findings_of(text, field)
+        assert text[found[1] : found[2]] in text.split('"') + text.split() and len(text[found[1] : found[2]]) > 20
 
 
 def test_stretches_give_the_best_whole_sequence():
