@@ -14,11 +14,14 @@
    grow with the members and not with their square. Pairs whose sizes or
    signatures are too far apart for the threshold go; the rest are confirmed on
    the full sets of both texts.
-4. A hub has then been compared with all its key's members and leaves the key.
-   Where the members left are of one component, confirmed links join them, and
-   the key needs no further look. The others get another hub, for ``ROUNDS``
-   rounds; what members of different components are left then are paired with
-   each other. So each two texts with a common key are compared or joined.
+4. Keys whose members are of one component by then need no further look.
+   The others are gathered into families (nodes that share such keys), and a
+   family's members of different components are compared on their full sets in
+   blocks: a task holds two blocks of at most some ``BLOCK`` shingles, builds an
+   inverted index of one, counts the shared shingles of each text of the other,
+   and emits only the links that join two components. So no pair is ever a row.
+   Where a family's keys are fewer pairs than the family, each key is a group.
+   Each two texts with a common key are thus compared or joined.
 
 Texts, keys and links are never collected on the driver, nor is a group held by
 one task; the joins are on (key) or (node) with hot keys split by adaptive
@@ -52,8 +55,8 @@ from .components import components
 MISSED = 3e-5
 #: Hash seeds of the minima, drawn once from a fixed generator.
 _SEED = 20_240_501
-#: Members of a key that are paired with each other at once; rounds with a hub for larger keys.
-SMALL, ROUNDS = 8, 3
+#: Members of a key that are paired with each other at once; shingles of a block of texts that a task compares with another.
+SMALL, BLOCK = 8, 1_500_000
 _HASHED = 1_000_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -260,14 +263,11 @@ def with_hubs(members: DataFrame) -> DataFrame:
     return members.join(own, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "members")
 
 
-def pairs_within(members: DataFrame, how: Plan, *differing: str) -> DataFrame:
-    """All pairs (a, b) of members of a key that are near in size and differ in the columns given."""
-    own = members.select("key", F.col("node").alias("a"), "n", *(F.col(c).alias(f"own_{c}") for c in differing))
-    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), *differing)
-    found = own.join(other, "key").filter("a < b").filter(near_in_size(how))
-    for c in differing:
-        found = found.filter(F.col(f"own_{c}") != F.col(c))
-    return found.select("a", "b")
+def pairs_within(members: DataFrame, how: Plan) -> DataFrame:
+    """All pairs (a, b) of members of a key that are near in size."""
+    own = members.select("key", F.col("node").alias("a"), "n")
+    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
+    return own.join(other, "key").filter("a < b").filter(near_in_size(how)).select("a", "b")
 
 
 def pairs_with_hub(members: DataFrame, how: Plan) -> DataFrame:
@@ -283,27 +283,82 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
     texts = written(texts_of(docs, nodes, ends_of(near)), "texts")
     links = written(confirmed(near, texts, how), "links")
     labels = components(links)
-    left = large
-    for turn in range(ROUNDS + 1):
-        # A hub is done with its key; a key whose other members are of one component is done as well.
-        left = left.filter("node <> hub").select("key", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed_keys = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        left = written(left.join(mixed_keys, "key"), "left")
-        if left.isEmpty():
-            break
-        if turn == ROUNDS:
-            pairs = pairs_within(left, how, "root").distinct()
-        else:
-            left = written(with_hubs(left.select("key", "node", "n")), "left")
-            pairs = pairs_with_hub(left, how).distinct()
-        near = written(near_in_signature(pairs.join(near, ["a", "b"], "left_anti"), nodes, how), "near")
-        missing = ends_of(near).join(texts, "node", "left_anti")
-        texts = texts.union(written(texts_of(docs, nodes, missing), "texts"))
-        found = written(confirmed(near, texts, how), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-    return labels
+    # A hub is done with its key; a key whose other members are of one component is done as well.
+    left = large.filter("node <> hub").select("key", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed_keys = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("first"), F.count("*").alias("members")).filter("least <> most")
+    left = written(left.join(mixed_keys.select("key", "first", "members"), "key"), "left")
+    if left.isEmpty():
+        return labels
+    found = written(links_in_groups(docs, nodes, left, how), "links")
+    return labels if found.isEmpty() else components(links.union(found))
+
+
+def links_in_groups(docs: DataFrame, nodes: DataFrame, left: DataFrame, how: Plan) -> DataFrame:
+    """Links (a, b) that join the components of members of a key; left has key, node, n, root, first and members."""
+    families = components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
+    own = written(left.join(families, "node"), "families")
+    members = own.groupBy("family", "node").agg(F.max("n").alias("n"), F.max("root").alias("root"))
+    by_key = own.groupBy("family").agg(F.sum("members").alias("pairs"))  # each row of a key counts the key's members
+    by_family = members.groupBy("family").agg((F.count("*") * F.count("*")).alias("all_pairs"))
+    whole = by_family.join(by_key, "family").select("family", (F.col("all_pairs") <= F.col("pairs")).alias("whole"))
+    groups = members.join(whole.filter("whole"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "n", "root")
+    groups = written(groups.union(own.join(whole.filter("NOT whole"), "family").select(F.lit(1), "key", "node", "n", "root")), "groups")
+    sizes = groups.groupBy("kind", "grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(sizes, ["kind", "grp"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("kind", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
+    texts = written(texts_of(docs, nodes, groups.select("node").distinct()), "texts").dropDuplicates(["node"])
+    sent = placed.join(texts, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = [shingles(t.as_py(), how.words) for t in group.column("text")]
+        names = group.column("node").to_pylist()
+        fits = [len(s) > 0 and node_of(s) == a for s, a in zip(sets, names, strict=True)]
+        sets = [s if ok else s[:0] for s, ok in zip(sets, fits, strict=True)]
+        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        second = np.array(group.column("second").to_pylist(), bool) if across else None
+        links = joining_links(sets, group.column("root").to_pylist(), second, how.per_cent)
+        return pa.table({"a": pa.array([names[x] for x, _ in links], pa.int64()), "b": pa.array([names[y] for _, y in links], pa.int64())})
+
+    return sent.groupBy("kind", "grp", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def joining_links(sets: list[np.ndarray], roots: list[int], second: np.ndarray | None, per_cent: int) -> list[tuple[int, int]]:
+    """Links that join the components in roots, by exact counts of shared shingles.
+
+    second marks the members of the second block, which are compared with those of
+    the first only; None: all are compared with each other.
+    """
+    top = {r: r for r in roots}
+
+    def of(r: int) -> int:
+        while top[r] != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    sizes = np.array([len(s) for s in sets])
+    indexed = np.arange(len(sets)) if second is None else np.flatnonzero(~second)
+    asking = np.arange(len(sets)) if second is None else np.flatnonzero(second)
+    if not len(indexed) or not len(asking):
+        return []
+    owner = np.repeat(indexed, sizes[indexed])
+    postings = np.concatenate([sets[i] for i in indexed])
+    order = np.argsort(postings, kind="stable")
+    postings, owner = postings[order], owner[order]
+    links = []
+    for x in asking:
+        if not sizes[x]:
+            continue
+        lo, hi = np.searchsorted(postings, sets[x], "left"), np.searchsorted(postings, sets[x], "right")
+        counts = hi - lo
+        at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for y in np.flatnonzero((both > 0) & (100 * both >= per_cent * (sizes + sizes[x] - both))):
+            if (p := of(roots[x])) != (q := of(roots[y])):
+                top[p] = q
+                links.append((int(x), int(y)))
+    return links
 
 
 def link(docs: DataFrame, how: Plan) -> DataFrame:
