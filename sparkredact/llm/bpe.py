@@ -34,6 +34,8 @@ from .common import slices, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pretokens that a worker remembers, and their ids together.
 REMEMBERED, LONGEST_IDS = 300_000, 3_000_000
+#: Bytes of the words that are replayed abreast, the ends of their windows of ranks, and the rank of no merge.
+SHORT, WINDOWS, NONE = 48, (2_000, 10_000), 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,8 +43,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class PairTable:
+    """An open hash table from pair (left << 32 | right) to rank, for many pairs at once."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.bits = max(4, (2 * len(pairs)).bit_length() + 1)
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NONE, np.int64)
+        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
+        ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several for one slot the last stays
+            done = self.keys[at] == keys
+            self.ranks[at[done]] = ranks[done]
+            keys, ranks, at = keys[~done], ranks[~done], (at[~done] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where it doesn't merge."""
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = self.ranks[at]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        out[found != keys] = NONE
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class MergeReplay:
-    """Encodes many byte strings at once; ranks maps token bytes to rank, which is the id."""
+    """Encodes many byte strings at once; ranks maps token bytes to rank, which is the id.
+
+    Words of up to ``SHORT`` bytes are replayed abreast: the ranks are taken in
+    order in ``WINDOWS``; the inverted index of a window is the positions whose
+    pair's rank it holds (or a lower one that a merge has made). Of these each word
+    applies its lowest, leftmost first, until none is left. Words do not touch
+    each other, so each sees its merges in rank order. Longer words are replayed
+    rank by rank with one list of positions for each.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -53,24 +99,67 @@ class MergeReplay:
         # The token that each mergeable pair (left << 32 | right) makes.
         self.pairs = {left << 32 | right: made for token, made in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
         self.top = max(ranks.values()) + 1
+        self.table = PairTable(self.pairs)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has."""
         whole = list(map(self.ranks.get, words))
         split = [w for w, rank in zip(words, whole, strict=True) if rank is None]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        raw = np.frombuffer(b"".join(split), np.uint8).astype(np.int64)
-        ends = np.cumsum(lengths)
-        ids, counts = self._replay(raw, ends, lengths)
-        out_counts = np.ones(len(words), np.int64)
         missed = np.array([rank is None for rank in whole], bool)
-        out_counts[missed] = counts
+        short = np.zeros(len(words), bool)
+        short[missed] = lengths <= SHORT
+        out_counts = np.ones(len(words), np.int64)
+        parts = []
+        for chosen, replay in ((short, self._abreast), (missed & ~short, self._replay)):
+            own = [w for w, take in zip(split, chosen[missed].tolist(), strict=True) if take]
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            ids, out_counts[chosen] = replay(np.frombuffer(b"".join(own), np.uint8).astype(np.int64), np.cumsum(n), n)
+            parts.append((chosen, ids))
+        parts.append((~missed, np.array([rank for rank in whole if rank is not None], np.int64)))
         out = np.empty(out_counts.sum(), np.int64)
-        from_split = np.repeat(missed, out_counts)
-        out[from_split] = ids
-        out[~from_split] = [rank for rank in whole if rank is not None]
+        for chosen, ids in parts:
+            out[np.repeat(chosen, out_counts)] = ids
         return out, out_counts
 
+    def _abreast(self, raw: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(raw)
+        if not n:
+            return raw, lengths
+        at = np.arange(n)
+        word = np.repeat(np.arange(len(lengths)), lengths)
+        symbols = self.single[raw]
+        last = np.zeros(n, bool)
+        last[ends[lengths > 0] - 1] = True
+        after, before = np.where(last, n, at + 1), at - 1  # n: no symbol follows
+        before[ends[lengths > 0] - lengths[lengths > 0]] = -1
+        waiting = np.full(n + 1, NONE, np.int64)  # the rank of the pair that begins at a position
+        pairs = np.flatnonzero(~last)
+        ranks = self.byte_pairs[raw[pairs] * 256 + raw[pairs + 1]]
+        waiting[pairs] = np.where(ranks >= 0, ranks, NONE)
+        for end in (*(w for w in WINDOWS if w < self.top), self.top):
+            while len(open_ := np.flatnonzero(waiting < end)):
+                # The lowest rank of each word, and of equal ones the leftmost position.
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(word[open_]) > 0]))
+                rank = waiting[open_]
+                least = np.minimum.reduceat(rank, starts)
+                lowest = np.flatnonzero(rank == np.repeat(least, np.diff(np.concatenate([starts, [len(open_)]]))))
+                i = open_[lowest[np.concatenate([[True], np.diff(word[open_[lowest]]) > 0])]]
+                j = after[i]
+                symbols[i] = waiting[i]
+                symbols[j] = -1
+                waiting[j] = NONE
+                after[i] = nxt = after[j]
+                follows = nxt < n
+                before[nxt[follows]] = i[follows]
+                waiting[i] = NONE
+                waiting[i[follows]] = self.table.get(symbols[i[follows]] << 32 | symbols[nxt[follows]])
+                prev = before[i]
+                led = prev >= 0
+                waiting[prev[led]] = self.table.get(symbols[prev[led]] << 32 | symbols[i[led]])
+        kept = np.concatenate([[0], np.cumsum(symbols >= 0)])
+        return symbols[symbols >= 0], kept[ends] - kept[ends - lengths]
+
     def _replay(self, raw: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(raw)
         last = np.zeros(n, bool)
