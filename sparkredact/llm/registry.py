@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and their DuckDB counterparts where SQL can say them."""
 
-from . import bpe, decontam, hmm, neardup, quality, secrets, warc
+from . import bpe, decontam, extract, hmm, neardup, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_neardup": neardup.op3_neardup,
     "op4_quality": quality.op4_quality,
+    "op5_extraction": extract.op5_extraction,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
     "op9_bpe": bpe.op9_bpe,
