@@ -295,8 +295,9 @@ def snippets(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int, int,
         own = rows.filter(F.col("text").rlike(MAYBE_JAVA)) if found else rows.withColumn("h", F.xxhash64("h"))
         at = F.regexp_instr("text", F.lit(MAYBE_JAVA)) if found else (F.pmod("h", F.length("text").cast("long")) + 1).cast("int")
         start = F.greatest(at - SNIPPET // 2, F.lit(1))
-        own = own.orderBy("h", "text").limit(sample)
-        own = own.select(F.substring(F.col("text"), start, F.lit(SNIPPET)).alias("snippet"), F.length("text").alias("chars"), count("\n").alias("lines"), count("=").alias("equals"))
+        # Snippets are cut before the order, so that no whole text is sent on.
+        own = own.select("h", F.substring(F.col("text"), start, F.lit(SNIPPET)).alias("snippet"), F.length("text").alias("chars"), count("\n").alias("lines"), count("=").alias("equals"))
+        own = own.orderBy("h", "snippet", "chars").limit(sample)
         out += [(r.snippet, r.chars, r.lines, r.equals, found) for r in own.collect()]
     return out
 
