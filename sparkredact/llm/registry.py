@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their DuckDB counterparts where SQL can say them."""
 
-from . import bpe, decontam, extract, hmm, neardup, quality, secrets, warc
+from . import ann, bpe, decontam, extract, hmm, neardup, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_extraction": extract.op5_extraction,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_secrets": secrets.op7_secrets,
+    "op8_neighbours": ann.op8_neighbours,
     "op9_bpe": bpe.op9_bpe,
     "op10_hmm": hmm.op10_hmm,
 }
