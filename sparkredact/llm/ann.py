@@ -103,8 +103,12 @@ class Centroids:
             out.append(chosen)
         return out
 
-    def search(self, query: np.ndarray) -> list[int]:
-        """The lists to read for a query: best-first over the graph, then those within a ratio of the best."""
+    def search(self, query: np.ndarray, sizes: np.ndarray, least: int) -> list[int]:
+        """The lists to read for a query: best-first over the graph, those within a ratio of the best.
+
+        sizes: entries of which a list is the nearest; where those of the lists found
+        are fewer than least, the next nearest lists are read as well.
+        """
         scale = self.norm / np.linalg.norm(query)  # a query's own length doesn't change the order
         q = np.append(query * scale, 0.0)
 
@@ -131,7 +135,12 @@ class Centroids:
                 heapq.heappush(best, -e)
                 if len(best) > BREADTH:
                     heapq.heappop(best)
-        return [c for d, c in sorted((d, c) for c, d in seen.items()) if d <= reach or d == 0]
+        found = [c for d, c in sorted((d, c) for c, d in seen.items()) if d <= reach or d == 0]
+        if sizes[found].sum() < least:
+            order = np.argsort(distances(np.arange(len(self.points))), kind="stable")
+            enough = int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1
+            found = list(dict.fromkeys([*found, *order[:enough].tolist()]))
+        return found
 
 
 def _balanced(points: np.ndarray, wanted: int, turns: int = 8) -> np.ndarray:
@@ -166,24 +175,24 @@ def rows_of(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def _listed(rows: DataFrame, index: Centroids, d: int, names: list[str], search: bool) -> DataFrame:
-    """rows (the columns named, and embedding) once for each of their lists."""
-    held = rows.sparkSession.sparkContext.broadcast(index)  # CENTROIDS rows at most
+def _listed(rows: DataFrame, index: Centroids, d: int, names: list[str], sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """rows (the columns named, and embedding) once for each of their lists, or with sizes of those to read; first: the nearest."""
+    held = rows.sparkSession.sparkContext.broadcast((index, sizes))  # CENTROIDS rows at most
     source = rows.select(*names, "embedding")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        own, counted = held.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 x = rows_of(part.column("embedding"), d)
-                lists = [own.search(q) for q in x] if search else own.lists(x)
+                lists = own.lists(x) if counted is None else [own.search(q, counted, least) for q in x]
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
                 taken = part.take(pa.array(np.repeat(np.arange(len(lists)), counts)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([c for own_lists in lists for c in own_lists], pa.int32())], names=[*taken.schema.names, "list"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([c for own_lists in lists for c in own_lists], pa.int32()), pa.array([i == 0 for own_lists in lists for i in range(len(own_lists))], pa.bool_())], names=[*taken.schema.names, "list", "first"])
 
-    return source.mapInArrow(run, f"{fields}, list int")
+    return source.mapInArrow(run, f"{fields}, list int, first boolean")
 
 
 def best_of(queries: np.ndarray, entries: np.ndarray, first: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -220,8 +229,11 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     queries = written(asked.groupBy("embedding").agg(F.min("query_id").alias("asked_id")), "queries")
     sample = entries.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").toPandas()
     index = Centroids(np.array(sample["embedding"].tolist(), np.float64).reshape(-1, d), math.sqrt(total["square"]), entries.count())
-    lists = written(_listed(entries, index, d, ["ids"], search=False), "lists")
-    reads = written(_listed(queries, index, d, ["asked_id"], search=True), "reads")
+    lists = written(_listed(entries, index, d, ["ids"]), "lists")
+    sizes = np.zeros(len(index.points), np.int64)
+    for r in lists.filter("first").groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        sizes[r["list"]] = r["n"]
+    reads = written(_listed(queries, index, d, ["asked_id"], sizes, k + 1), "reads")
     # Pieces of long lists, and of the queries of a list: each piece of one meets each piece of the other.
     pieces = lists.groupBy("list").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).join(reads.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns")), "list")
     pieces = written(pieces, "pieces")
