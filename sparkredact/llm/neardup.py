@@ -45,7 +45,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, table, written
@@ -361,12 +361,17 @@ def joining_links(sets: list[np.ndarray], roots: list[int], second: np.ndarray |
     return links
 
 
-def link(docs: DataFrame, how: Plan) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+def _labelled(docs: DataFrame, how: Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The components of linked classes (node, root), the signed rows, and the classes."""
     rows = written(signed(docs, how), "signed")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "place")).alias("at"), F.max("n_shingles").alias("n"), F.max("signature").alias("signature"))
     nodes = written(nodes, "nodes")
-    labels = link_nodes(docs, nodes, how)
+    return link_nodes(docs, nodes, how), rows, nodes
+
+
+def link(docs: DataFrame, how: Plan) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    labels, rows, nodes = _labelled(docs, how)
     rooted = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = rooted.join(first, "root").select("node", "component_id")
@@ -375,6 +380,31 @@ def link(docs: DataFrame, how: Plan) -> DataFrame:
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def keep_first(docs: DataFrame, how: Plan) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id.
+
+    Of rows with that same id the one with the smallest hash of its text stays, of
+    equal rows one; rows with an empty set all stay, as they are linked with nothing.
+    """
+    labels, rows, nodes = _labelled(docs, how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place"))
+    # The first row of each class, by partial aggregation; then the first class of each component.
+    tops = rows.filter("node IS NOT NULL").groupBy("node").agg(first.alias("top"))
+    tops = tops.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("top").alias("top"))
+    kept = tops.select(F.xxhash64("top.doc_id", "top.place").alias("row_key"), F.col("top.place").alias("place"))
+    names = docs.columns
+    source = docs.select(*(F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(names)))
+    text = F.col(f"k{names.index('text')}").cast("string")
+    source = source.withColumn("place", F.xxhash64(text)).withColumn("row_key", F.xxhash64(F.col(f"k{names.index('doc_id')}").cast("long"), "place"))
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    back = [F.col(f"k{i}").alias(n) for i, n in enumerate(names)]
+    # Of rows repeated with id and text one stays; each task drops its own before the shuffle, which the join uses again.
+    turn = F.row_number().over(Window.partitionBy("row_key", "place").orderBy("place"))
+    worded = source.filter(~blank).withColumn("turn", turn).filter("turn = 1")
+    chosen = worded.join(kept, ["row_key", "place"], "left_semi").select(*back)
+    return chosen.unionByName(source.filter(blank).select(*back))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), plan(words=3, per_cent=85))
 
