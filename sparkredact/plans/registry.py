@@ -1,4 +1,295 @@
 """All queries over the detection operators, with their DuckDB counterparts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.classify import classify, with_flags
+from ..functions.lexicon import CATEGORIES
+from ..operators import geometry, layers, llm_reply, ner, ocr, preprocess, report
+from ..sources import uploads
+from ..sources.lines import line_segments, table
+from . import fixtures, guard
+from .oracle import categories, flagged, lines_of, quoted
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+_BOX = "struct<x: int, y: int, width: int, height: int>"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with the SQL that gives the same rows."""
+
+    def put(function):
+        QUERIES[name or function.__name__] = function
+        if sql is not None:
+            ORACLES[name or function.__name__] = sql
+        return function
+
+    return put
+
+
+def _literals(rows, *columns: str) -> str:
+    """Rows as a SQL query."""
+
+    def value(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return quoted(v)
+        if isinstance(v, list):
+            return "[" + ", ".join(map(value, v)) + "]"
+        if isinstance(v, tuple):
+            return "{'x': " + value(v[0]) + ", 'y': " + value(v[1]) + "}"
+        return repr(v)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) v({', '.join(columns)})"
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+
+
+_LINES = lines_of("documents", "doc_id", "lang", "source")
+_FOUND = categories(_LINES)
+
+
+@query(f"SELECT image_id, seg_idx, t AS text FROM ({_LINES})")
+def segments_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_lines(spark, sf_dir).select("image_id", "seg_idx", "text")
+
+
+def _flag(category: str):
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return with_flags(document_lines(spark, sf_dir)).filter(F.col(f"flags.{category}")).select("image_id", "seg_idx")
+
+    return one
+
+
+for _category in CATEGORIES:
+    query(f"SELECT image_id, seg_idx FROM ({flagged(_LINES)}) WHERE {_category}", f"flag_{_category}")(_flag(_category))
+
+
+@query(f"SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM ({_FOUND})) GROUP BY category")
+def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.category_summary(classify(document_lines(spark, sf_dir)))
+
+
+@query(f"SELECT t AS text, array_to_string(categories, ',') AS categories FROM ({categories(_literals([(t,) for t in fixtures.TEXTS], 't'))})")
+def golden_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t in fixtures.TEXTS], "text string")
+    return classify(rows).select("text", F.array_join("categories", ",").alias("categories"))
+
+
+@query(f"SELECT lang, category, count(*) AS n FROM (SELECT lang, unnest(categories) AS category FROM ({_FOUND})) GROUP BY ROLLUP(lang, category)")
+def category_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = classify(document_lines(spark, sf_dir)).select("lang", F.explode("categories").alias("category"))
+    return each.rollup("lang", "category").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT image_id, n_regions, place FROM (SELECT image_id, n_regions, row_number() OVER (ORDER BY n_regions DESC, image_id) AS place FROM (SELECT image_id, count(*) AS n_regions FROM ({_FOUND}) WHERE len(categories) > 0 GROUP BY image_id)) WHERE place <= 20")
+def topk_docs_by_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = layers.regions(classify(document_lines(spark, sf_dir))).groupBy("image_id").agg(F.count("*").alias("n_regions"))
+    top = counts.orderBy(F.desc("n_regions"), "image_id").limit(20)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_regions"), "image_id")))
+
+
+@query(f"SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id::VARCHAR IN (SELECT image_id FROM ({_FOUND}) WHERE len(categories) > 0)")
+def sensitive_docs_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = layers.regions(classify(document_lines(spark, sf_dir))).select(F.col("image_id").cast("long").alias("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(some, "doc_id", "left_semi")
+
+
+@query(f"SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id::VARCHAR NOT IN (SELECT image_id FROM ({_FOUND}) WHERE len(categories) > 0)")
+def clean_docs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = layers.regions(classify(document_lines(spark, sf_dir))).select(F.col("image_id").cast("long").alias("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(some, "doc_id", "left_anti")
+
+
+_TURNS = f"SELECT role, t FROM ({lines_of('conversations', 'conv_id', 'role')})"
+
+
+@query(f"SELECT role, category, count(*) AS n FROM (SELECT role, unnest(categories) AS category FROM ({categories(_TURNS)})) GROUP BY role, category")
+def conversation_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = line_segments(table(spark, sf_dir, "conversations"), "conv_id", "text", "role")
+    return report.category_summary(classify(turns), "role")
+
+
+@query(f"SELECT page_id, array_to_string(categories, ',') AS categories FROM ({categories('SELECT page_id, url AS t FROM pages')})")
+def page_url_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))).select("page_id", F.array_join("categories", ",").alias("categories"))
+
+
+def _named(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+_KNOWN = "[" + ", ".join(map(quoted, CATEGORIES)) + "]"
+
+
+@query(f"SELECT image_id, seg_idx, string_agg(DISTINCT c, ',' ORDER BY c) AS categories FROM (SELECT image_id, seg_idx, unnest(categories) AS c FROM ({_literals(fixtures.OUTPUTS, 'layer', 'image_id', 'seg_idx', 'categories')})) WHERE list_contains({_KNOWN}, c) GROUP BY image_id, seg_idx")
+def layer_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _named(spark, fixtures.OUTPUTS, "layer string, image_id string, seg_idx int, categories array<string>")
+    return layers.union_of([rows.filter("layer = 'a'").drop("layer"), rows.filter("layer = 'b'").drop("layer")]).withColumn("categories", F.array_join("categories", ","))
+
+
+@query(f"SELECT image_id, seg_idx, array_to_string(list_sort(list_distinct(list_concat(categories, CASE WHEN image_id = '1' AND seg_idx = 0 THEN ['person_name'] ELSE [] END))), ',') AS categories, false AS fallback FROM ({_FOUND})")
+def layered_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _named(spark, [("1", 0, ["person_name"])], "image_id string, seg_idx int, categories array<string>")
+    found = layers.detect(document_lines(spark, sf_dir), [layers.StructuredLayer(), layers.TableLayer("model", model)])
+    return found.select("image_id", "seg_idx", F.array_join("categories", ",").alias("categories"), "fallback")
+
+
+@query("SELECT DISTINCT doc_id::VARCHAR AS image_id, " + quoted(layers.FALLBACK_WARNING) + f" AS warnings FROM documents WHERE doc_id::VARCHAR IN (SELECT image_id FROM ({_LINES}))")
+def fallback_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layers.detect(document_lines(spark, sf_dir), [layers.TableLayer("model", None)])
+    return layers.warnings_of(found).select("image_id", F.array_join("warnings", "; ").alias("warnings"))
+
+
+_SEGMENTS = _literals(fixtures.PAGES, "image_id", "seg_idx", "text")
+_PLACED = f"SELECT *, coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY image_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM ({_SEGMENTS})"
+
+
+def _pages(spark: SparkSession) -> DataFrame:
+    return _named(spark, fixtures.PAGES, "image_id string, seg_idx int, text string")
+
+
+@query(f'SELECT image_id, seg_idx, s AS start, s + length(coalesce(text, \'\')) AS "end" FROM ({_PLACED})')
+def page_offsets_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.page_offsets(_pages(spark)).select("image_id", "seg_idx", "start", "end")
+
+
+def _cases(label: str, names: dict[str, str]) -> str:
+    return f"CASE upper({label}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
+@query(f"""SELECT p.image_id, p.seg_idx, string_agg(DISTINCT c, ',' ORDER BY c) AS categories FROM ({_PLACED}) p
+JOIN (SELECT image_id, a, z, {_cases('g', ner.GROUPS)} AS c FROM ({_literals(fixtures.ENTITIES, 'image_id', 'g', 'score', 'a', 'z')}) WHERE coalesce(score, 1) >= 0.5 AND z > a) e
+ON p.image_id = e.image_id AND s < z AND a < s + length(coalesce(text, '')) WHERE c IS NOT NULL GROUP BY p.image_id, p.seg_idx""")
+def entity_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = _named(spark, fixtures.ENTITIES, "image_id string, entity_group string, score double, start int, end int")
+    return ner.overlapping(_pages(spark), entities).withColumn("categories", F.array_join("categories", ","))
+
+
+@query(f"SELECT seg_idx, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(tags, lambda t: t IS NOT NULL AND t <> 'O' AND contains(t, '-')), lambda t: {_cases('substr(t, strpos(t, chr(45)) + 1)', ner.TAGS)}), lambda c: c IS NOT NULL))), ','), '') AS categories FROM ({_literals(fixtures.TAGS, 'seg_idx', 'tags')})")
+def iob_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _named(spark, [(i, [("w", t) for t in tags]) for i, tags in fixtures.TAGS], "seg_idx int, tokens array<struct<token: string, tag: string>>")
+    return rows.select("seg_idx", F.array_join(ner.tag_categories(F.col("tokens")), ",").alias("categories"))
+
+
+@query(f"SELECT image_id, count(*)::INT AS num_segments, 'Segments:' || chr(10) || string_agg('[' || seg_idx || '] ' || coalesce(text, ''), chr(10) ORDER BY seg_idx) AS prompt FROM ({_SEGMENTS}) GROUP BY image_id HAVING bool_or(trim(coalesce(text, '')) <> '')")
+def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return llm_reply.prompts(_pages(spark))
+
+
+@query(_literals([("r1", 0, "person_name"), ("r1", 1, "email"), ("r1", 2, "money_amount"), ("r2", 0, "url"), ("r3", 1, "secret")], "image_id", "seg_idx", "categories"))
+def llm_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies = _named(spark, fixtures.REPLIES, "image_id string, num_segments int, content string")
+    return llm_reply.reply_categories(replies).withColumn("categories", F.array_join("categories", ","))
+
+
+_QUADS = f"""SELECT id, w, h, round_even(greatest(least(list_min(list_transform(q, lambda p: p.x)), w), 0), 0)::INT AS l, round_even(greatest(least(list_max(list_transform(q, lambda p: p.x)), w), 0), 0)::INT AS r,
+round_even(greatest(least(list_min(list_transform(q, lambda p: p.y)), h), 0), 0)::INT AS t, round_even(greatest(least(list_max(list_transform(q, lambda p: p.y)), h), 0), 0)::INT AS b FROM ({_literals(fixtures.QUADS, 'id', 'q', 'w', 'h')})"""
+
+
+@query(f"SELECT id, CASE WHEN r <= l AND l + 1 > w THEN w - 1 ELSE l END AS x, CASE WHEN b <= t AND t + 1 > h THEN h - 1 ELSE t END AS y, CASE WHEN r <= l THEN 1 ELSE r - l END AS width, CASE WHEN b <= t THEN 1 ELSE b - t END AS height FROM ({_QUADS})")
+def geometry_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _named(spark, fixtures.QUADS, "id int, quad array<struct<x: double, y: double>>, width int, height int")
+    return rows.select("id", geometry.quad_to_box(F.col("quad"), F.col("width"), F.col("height")).alias("b")).select("id", "b.*")
+
+
+@query(_literals([("o1", 0, "ab cd", 20, 36, 168, 24, 0.99), ("o1", 1, "neg", 0, 3, 10, 4, 0.99)], "image_id", "seg_idx", "text", "x", "y", "width", "height", "confidence"))
+def ocr_line_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ocr.overlay_segments(_named(spark, fixtures.OVERLAYS, "image_id string, body string"))
+    return found.select("image_id", "seg_idx", "text", "box.*", "confidence")
+
+
+@query(_literals([("o2", "OCR_FAILED", "bad"), ("o3", "OCR_FAILED", "no readable reply")], "image_id", "code", "message"))
+def ocr_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.overlay_errors(_named(spark, fixtures.OVERLAYS, "image_id string, body string"))
+
+
+_SIZED = f"SELECT *, height / 11.0 AS d FROM ({_literals(fixtures.SIZES, 'image_id', 'height', 'width')})"
+_SCALED = f"SELECT *, CASE WHEN d < 150 THEN least(150 / d, 4.0) ELSE 1.0 END AS f FROM ({_SIZED})"
+_GATED = f"SELECT *, CASE WHEN f > 1 THEN greatest(round_even(height * f, 0)::INT, 1) ELSE height END AS nh, CASE WHEN f > 1 THEN greatest(round_even(width * f, 0)::INT, 1) ELSE width END AS nw FROM ({_SCALED})"
+
+
+@query(f"SELECT image_id, round(d::DOUBLE, 6) AS dpi, f > 1 AS upscaled, round(f::DOUBLE, 6) AS factor, nh AS new_height, nw AS new_width, nh / 11.0 >= 150 AS sufficient FROM ({_GATED})")
+def upscale_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preprocess.with_quality(_named(spark, fixtures.SIZES, "image_id string, height int, width int"))
+    return rows.select("image_id", F.round("dpi", 6).alias("dpi"), "upscaled", F.round("factor", 6).alias("factor"), "new_height", "new_width", "sufficient")
+
+
+_SNIFFED = f"""SELECT path, length, CASE WHEN starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250' THEN 'WEBP' WHEN starts_with(h, '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(h, 'FFD8FF') THEN 'JPEG'
+WHEN starts_with(h, '474946383761') OR starts_with(h, '474946383961') THEN 'GIF' WHEN starts_with(h, '424D') THEN 'BMP' WHEN starts_with(h, '49492A00') OR starts_with(h, '4D4D002A') THEN 'TIFF' END AS format FROM ({_literals(fixtures.FILES, 'path', 'h', 'length')})"""
+
+
+def _files(spark: SparkSession) -> DataFrame:
+    return _named(spark, fixtures.FILES, "path string, h string, length long").select("path", "length", F.unhex("h").alias("content"))
+
+
+@query(f"SELECT path, format FROM ({_SNIFFED})")
+def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark).select("path", uploads.sniff_format(F.col("content")).alias("format"))
+
+
+@query(f"""SELECT path, CASE WHEN length > 10485760 THEN 'FILE_TOO_LARGE' WHEN format IN ('PNG', 'JPEG') THEN NULL ELSE 'UNSUPPORTED_FORMAT' END AS code,
+CASE WHEN length > 10485760 THEN 413 WHEN format IN ('PNG', 'JPEG') THEN NULL ELSE 415 END AS http_status,
+CASE WHEN length > 10485760 THEN 'size_limit_bytes: 10485760' WHEN format IN ('PNG', 'JPEG') THEN NULL ELSE 'received: ' || coalesce(format, 'unknown') END AS detail FROM ({_SNIFFED})""")
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uploads.checked(_files(spark)).select("path", "error.code", "error.http_status", "error.detail")
+
+
+@query("SELECT 1.0::DOUBLE AS recall")
+def recall_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.recall(classify(_named(spark, fixtures.RECALL, "text string, expected string")))
+
+
+@query(f"SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY seg_idx)::INT AS number, t AS text, CASE WHEN len(categories) > 0 THEN array_to_string(categories, ', ') ELSE '(not sensitive)' END AS categories, CASE WHEN len(categories) > 0 THEN 'yes' ELSE 'no' END AS redacted, '99.0%' AS confidence FROM ({_FOUND})")
+def debug_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = classify(document_lines(spark, sf_dir)).withColumn("confidence", F.lit(0.99)).withColumn("box", F.lit(None).cast(_BOX))
+    return report.debug_table(lines).drop("box")
+
+
+@query(f"SELECT d.doc_id::VARCHAR AS image_id, coalesce(n, 0)::INT AS count, coalesce(n, 0) || ' sensitive region' || CASE WHEN coalesce(n, 0) = 1 THEN '' ELSE 's' END || ' detected' AS label FROM documents d LEFT JOIN (SELECT image_id, count(*) AS n FROM ({_FOUND}) WHERE len(categories) > 0 GROUP BY image_id) r ON r.image_id = d.doc_id::VARCHAR")
+def result_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.lit(100).alias("width"), F.lit(200).alias("height"))
+    box = F.struct(F.lit(0).alias("x"), (F.col("seg_idx") * 10).alias("y"), F.lit(100).alias("width"), F.lit(10).alias("height"))
+    found = classify(document_lines(spark, sf_dir)).withColumn("box", box).withColumn("confidence", F.lit(0.99))
+    again = report.from_json(report.to_json(report.results(found, docs)))
+    return report.count_label(again).select("image_id", "count", "label")
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A small white page for each document that has a sensitive line, and its lines as boxes ten pixels high."""
+    lines = document_lines(spark, sf_dir)
+    y = F.pmod("seg_idx", F.lit(6)) * 10
+    box = F.struct(F.lit(4).alias("x"), y.alias("y"), F.lit(40).alias("width"), F.lit(10).alias("height"))
+    segments = lines.select("image_id", "seg_idx", "text", box.alias("box"), F.lit(0.99).alias("confidence"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(3).alias("channels"), F.unhex(F.repeat(F.lit("FF"), 64 * 64 * 3)).alias("data"))
+    return pages, segments
+
+
+@query(f"SELECT d.doc_id::VARCHAR AS image_id, coalesce(n, 0)::INT AS count, coalesce(rows, 0)::BIGINT * 400 * 3 AS black_bytes FROM documents d LEFT JOIN (SELECT image_id, count(*) AS n, count(DISTINCT seg_idx % 6) AS rows FROM ({_FOUND}) WHERE len(categories) > 0 GROUP BY image_id) r ON r.image_id = d.doc_id::VARCHAR")
+def redact_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, segments = _drawn(spark, sf_dir)
+    found = guard.process(images, segments, [layers.StructuredLayer()])
+    white = F.length(F.replace(F.hex("redacted"), F.lit("00"), F.lit(""))) / 2
+    return found.select("image_id", "count", (F.length("redacted") - white).cast("long").alias("black_bytes"))
+
+
+@query()
+def redacted_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PNG for each document's page; compressed bytes have no SQL."""
+    images, segments = _drawn(spark, sf_dir)
+    return guard.returned_image(guard.process(images, segments)).select("image_id", report.data_url("PNG", "base64").alias("url"))
+
+
+@query()
+def prepared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaling, straightening and denoising of small pages; pixels have no SQL."""
+    images = preprocess.with_quality(_named(spark, [("w", 450, 120, 1, bytes([255]) * 54_000)], "image_id string, height int, width int, channels int, data binary"))
+    return preprocess.prepared(images).select("image_id", "height", "width", "sufficient", F.round("residual_skew", 3).alias("residual_skew"), F.length("data").alias("bytes"))
+
+
