@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import detectors as d
+from .dialect import NOT_S, THAI, D
 from .lexicon import CATEGORIES
 
 #: Categories that no single pattern gives, and those of the second layer.
@@ -18,53 +19,73 @@ STRUCTURED = ("credit_card", "ip_address", "iban", "crypto_wallet")
 _SUPPRESSING = ("api_key", "access_token", "email", "url", "thai_national_id", "bank_account", "passport_number")
 
 
+#: Columns that the steps add and drop again.
+_PARTS = ("_text", "_stripped", "_tokens", "_stripped_tokens", "_digit", "_thai", "_assigns", "_dotted")
+
+
 def with_text_parts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the parts of the text that several detectors share, each computed once."""
+    """df with the parts of the text that several detectors share, each computed once.
+
+    Four cheap tests come with them: most texts have no digit, no Thai, no sign of an
+    assignment or nothing like a domain, and need none of the patterns that ask for one.
+    """
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = df.withColumn("_text", plain).withColumn("_stripped", d.stripped(F.col("_text")))
-    return df.withColumns({"_tokens": d.tokens(F.col("_text")), "_stripped_tokens": d.tokens(F.col("_stripped"))})
+    df = df.withColumn("_text", plain)
+    t = F.col("_text")
+    df = df.withColumns({"_digit": t.rlike(D), "_thai": t.rlike(f"[{THAI}]"), "_assigns": t.contains("=") | t.contains(":"), "_dotted": t.contains("://") | t.rlike(f"\\.{NOT_S}")})
+    df = df.withColumn("_stripped", F.when(F.col("_dotted"), d.stripped(t)).otherwise(t))
+    return df.withColumns({"_tokens": d.tokens(t), "_stripped_tokens": F.when(F.col("_dotted"), d.tokens(F.col("_stripped"))).otherwise(d.tokens(t))})
 
 
-def flags() -> dict[str, Column]:
-    """Each category's condition over the parts of with_text_parts()."""
+def raw_flags() -> dict[str, Column]:
+    """The conditions of single detectors over the parts of with_text_parts()."""
     text, bare, joined, bare_joined = (F.col(c) for c in ("_text", "_stripped", "_tokens", "_stripped_tokens"))
-    out = {
-        "thai_national_id": d.thai_national_id(text),
-        "bank_account": text.rlike(d.BANK_ACCOUNT),
-        "passport_number": text.rlike(d.PASSPORT),
-        "license_plate": text.rlike(d.PLATE),
-        "date_of_birth": d.date(text),
-        "thai_address": d.thai_address(text),
-        "job_title": d.job_title(text, joined),
-        "email": text.rlike(d.EMAIL),
-        "url": text.rlike(d.URL),
-        "money_amount": text.rlike(d.MONEY),
-        "percent_value": text.rlike(d.PERCENT),
-        "access_token": d._any(text, d.ACCESS_TOKEN),
-        "secret": d._any(text, d.SECRET),
+    digit, thai, assigns, dotted = (F.col(c) for c in ("_digit", "_thai", "_assigns", "_dotted"))
+    return {
+        "thai_national_id": digit & d.thai_national_id(text),
+        "bank_account": digit & text.rlike(d.BANK_ACCOUNT),
+        "passport_number": digit & text.rlike(d.PASSPORT),
+        "license_plate": digit & thai & text.rlike(d.PLATE),
+        "date_of_birth": digit & d.date(text),
+        "thai_address": thai & d.thai_address(text),
+        "job_title": (thai & d.thai_job_title(text)) | d.latin_job_title(text, joined),
+        "email": text.contains("@") & text.rlike(d.EMAIL),
+        "url": dotted & text.rlike(d.URL),
+        "money_amount": digit & text.rlike(d.MONEY),
+        "percent_value": text.contains("%") & digit & text.rlike(d.PERCENT),
+        "access_token": d.any_of_patterns(text, d.ACCESS_TOKEN) | (assigns & text.rlike(d.TOKEN_ASSIGNED)),
+        "secret": text.rlike(d.PRIVATE_KEY) | (assigns & d.any_of_patterns(text, d.SECRET_ASSIGNED)),
+        "phone": digit & d.phone(text),
+        "key": d.any_of_patterns(text, d.API_KEY) | (assigns & d.any_of_patterns(text, d.KEY_ASSIGNED)),
+        "long_token": digit & text.rlike(d.LONG_TOKEN),
+        "organization_name": (thai & d.thai_organization(text)) | d.latin_organization(bare_joined),
+        "person_name": (thai & d.thai_person(text)) | d.latin_person(bare, bare_joined),
+        "credit_card": digit & d.credit_card(text),
+        "ip_address": d.ip_address(text),
+        "iban": digit & d.iban(text),
+        "crypto_wallet": digit & d.crypto_wallet(text),
     }
-    out["phone_number"] = ~out["thai_national_id"] & d.phone(text)
-    out["api_key"] = d._any(text, d.API_KEY)
+
+
+def flags() -> dict[str, Column]:
+    """Each category's condition over the raw flags, which are columns by then."""
+    own = {c: F.col(f"_f_{c}") for c in raw_flags()}
+    out = {c: own[c] for c in CATEGORIES if c in own}
+    out["phone_number"] = ~own["thai_national_id"] & own["phone"]
     none = F.lit(True)
     for c in _SUPPRESSING:
-        none = none & ~out[c]
-    out["api_key"] = out["api_key"] | (none & text.rlike(d.LONG_TOKEN))
-    out["organization_name"] = d.thai_organization(text) | d.latin_organization(bare_joined)
-    out["person_name"] = d.thai_person(text) | d.latin_person(bare, bare_joined)
+        none = none & ~own["key" if c == "api_key" else c]
+    out["api_key"] = own["key"] | (none & own["long_token"])
     return out
 
 
-def structured_flags() -> dict[str, Column]:
-    """The conditions of the second layer: identifiers after public standards."""
-    text = F.col("_text")
-    return {"credit_card": d.credit_card(text), "ip_address": d.ip_address(text), "iban": d.iban(text), "crypto_wallet": d.crypto_wallet(text)}
-
-
 def with_flags(df: DataFrame, text: str = "text", structured: bool = True) -> DataFrame:
     """df with flags, a struct of one boolean for each category, in the order of the categories."""
-    found = flags() | (structured_flags() if structured else {})
-    own = [F.coalesce(found[c], F.lit(False)).alias(c) for c in CATEGORIES if c in found]
-    return with_text_parts(df, text).withColumn("flags", F.struct(*own)).drop("_text", "_stripped", "_tokens", "_stripped_tokens")
+    raw = {f"_f_{c}": F.coalesce(x, F.lit(False)) for c, x in raw_flags().items() if structured or c not in STRUCTURED}
+    df = with_text_parts(df, text).withColumns(raw)
+    found = flags()
+    own = [found[c].alias(c) for c in CATEGORIES if structured or c not in STRUCTURED]
+    return df.withColumn("flags", F.struct(*own)).drop(*_PARTS, *raw)
 
 
 def categories_of(flag_struct: str, names) -> Column:

@@ -58,17 +58,19 @@ ACCESS_TOKEN = [
     f"{B}eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+",
     f"{B}gh[pousr]_[A-Za-z0-9]{{20,}}",
     f"{I}{B}bearer{S}+[A-Za-z0-9{FOLDED}._\\-]{{8,}}",
-    f"{I}{B}(?:access[_\\-]?token|auth[_\\-]?token|token){B}{S}*[:=]{S}*{NOT_S}{{6,}}",
 ]
+TOKEN_ASSIGNED = f"{I}{B}(?:access[_\\-]?token|auth[_\\-]?token|token){B}{S}*[:=]{S}*{NOT_S}{{6,}}"
 API_KEY = [
     f"{B}sk-(?:proj-)?[A-Za-z0-9]{{16,}}",
     f"{B}(?:AKIA|ASIA)[0-9A-Z]{{16}}{B}",
     f"{B}AIza[0-9A-Za-z_\\-]{{35}}{B}",
+]
+KEY_ASSIGNED = [
     f"{I}{B}(?:api[_\\-]?key|apikey|client[_\\-]?secret|secret[_\\-]?key){B}{S}*[:=]{S}*{NOT_S}{{6,}}",
     f"{I}{B}[A-Z0-9{FOLDED}_]*KEY{B}{S}*[:=]{S}*{NOT_S}{{3,}}",
 ]
-SECRET = [
-    "-----BEGIN (?:RSA |EC |OPENSSH |PGP |DSA )?PRIVATE KEY-----",
+PRIVATE_KEY = "-----BEGIN (?:RSA |EC |OPENSSH |PGP |DSA )?PRIVATE KEY-----"
+SECRET_ASSIGNED = [
     f"{I}{B}[A-Z0-9{FOLDED}_]*(?:secret|password|passwd|pwd|passphrase|token){B}{S}*[:=]{S}*{NOT_S}{{4,}}",
     f"{I}{B}[a-z{FOLDED}][a-z0-9{FOLDED}+.\\-]*://[^{S_IN}:/@]+:[^{S_IN}:/@]+@",
 ]
@@ -101,7 +103,7 @@ def _any_match(text: Column, pattern: str, ok) -> Column:
     return F.when(text.rlike(pattern), F.exists(_matches(text, pattern), ok)).otherwise(False)
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
+def any_of_patterns(text: Column, patterns: list[str]) -> Column:
     out = text.rlike(patterns[0])
     for p in patterns[1:]:
         out = out | text.rlike(p)
@@ -143,8 +145,12 @@ def thai_address(text: Column) -> Column:
     return _contains(text, THAI_ADDRESS_WORDS) | text.rlike(ADDRESS_MARK)
 
 
-def job_title(text: Column, joined: Column) -> Column:
-    return _contains(text, THAI_JOB_TITLES) | _contains(F.lower(text), LATIN_JOB_PHRASES) | _has_token(joined, LATIN_JOB_WORDS)
+def thai_job_title(text: Column) -> Column:
+    return _contains(text, THAI_JOB_TITLES)
+
+
+def latin_job_title(text: Column, joined: Column) -> Column:
+    return _contains(F.lower(text), LATIN_JOB_PHRASES) | _has_token(joined, LATIN_JOB_WORDS)
 
 
 def thai_person(text: Column) -> Column:
@@ -153,7 +159,7 @@ def thai_person(text: Column) -> Column:
     for honorific in dict.fromkeys(THAI_HONORIFICS_DEGRADED + THAI_HONORIFICS):
         rest = F.substr(text, F.instr(text, honorific) + len(honorific))
         found = found | (text.contains(honorific) & rest.rlike(f"^{S}*(?:[{THAI}]|\\p{{L}})"))
-    return text.rlike(f"[{THAI}]") & found
+    return found
 
 
 def thai_organization(text: Column) -> Column:

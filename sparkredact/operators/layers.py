@@ -115,8 +115,13 @@ def detect(segments: DataFrame, layers: list[Layer] | None = None, use_layers: b
 
 
 def regions(detected: DataFrame) -> DataFrame:
-    """The segments with at least one category."""
-    return detected.filter(F.size("categories") > 0)
+    """The segments with at least one category.
+
+    The row goes through a generator, below which a filter isn't pushed: pushed
+    into the projection it would have all patterns run twice.
+    """
+    once = detected.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in detected.columns)))))
+    return once.filter(F.size("categories") > 0)
 
 
 def warnings_of(detected: DataFrame) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layers import regions as sensitive
+
 RESULT_SCHEMA = "image_width int, image_height int, count int, regions array<struct<box: struct<x: int, y: int, width: int, height: int>, categories: array<string>, text: string, confidence: double>>"
 
 
 def category_summary(detected: DataFrame, *by: str) -> DataFrame:
     """(by, category, n): how many segments carry each category, most first, then by name."""
-    each = detected.select(*by, F.explode("categories").alias("category")).filter("category <> ''")
+    # The outer form brings no filter on the array's size, which would have the array computed twice.
+    each = detected.select(*by, F.explode_outer("categories").alias("category")).filter("category <> ''")
     return each.groupBy(*by, "category").agg(F.count("*").alias("n")).orderBy(*by, F.desc("n"), "category")
 
 
@@ -33,7 +36,7 @@ def results(detected: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, image_width, image_height, count, regions) for each of images (image_id, width, height)."""
     own = F.struct("seg_idx", "box", "categories", "text", "confidence")
     # A group is one image's regions, as many as fit on a page.
-    found = detected.filter(F.size("categories") > 0).groupBy("image_id").agg(F.sort_array(F.collect_list(own)).alias("r"))
+    found = sensitive(detected).groupBy("image_id").agg(F.sort_array(F.collect_list(own)).alias("r"))
     rows = images.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height")).join(found, "image_id", "left")
     regions = F.transform(F.coalesce("r", F.array().cast(dict(found.dtypes)["r"])), lambda r: F.struct(r["box"].alias("box"), r["categories"].alias("categories"), r["text"].alias("text"), r["confidence"].alias("confidence")))
     return rows.withColumn("regions", regions).withColumn("count", F.size("regions")).select("image_id", "image_width", "image_height", "count", "regions")
