@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, slices, table, written
+from .common import id_bucket, slices, smallest, table, written
 
 #: Words whose counts are broadcast, words with a class of their own, classes shared by the other words.
 KNOWN, OWN, SHARED = 32_768, 6_000, 2_048
@@ -114,7 +114,15 @@ def shared_class(word: bytes) -> int:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals and frequent words of a written table of counts: KNOWN rows and SHARED rows come to the driver."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    # By bands of counts (some hundreds) the least count is found above which there are KNOWN words at most; only those are collected.
+    band = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    bands = sorted(((r["band"], r["n"]) for r in counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    words, least = 0, None
+    for b, n in bands:
+        if words + n > KNOWN:
+            break
+        words, least = words + n, b
+    top = counts.filter(band >= least).collect() if least is not None else []
     top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     own = counts.sparkSession.createDataFrame([(r["word"],) for r in top[:OWN]], "word binary")
     rest = counts.join(F.broadcast(own), "word", "left_anti").groupBy((F.crc32("word") % SHARED).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
@@ -249,7 +257,7 @@ def trained(rows: DataFrame, words: Vocabulary) -> Model:
     h = F.xxhash64("row_id")
     pieces = F.ceil(F.octet_length("classes") / (2 * SEGMENT)).cast("long")
     piece = F.substring(F.col("classes"), (F.pmod(h, pieces) * (2 * SEGMENT) + 1).cast("int"), F.lit(2 * SEGMENT))
-    first = [bytes(r["piece"]) for r in own.select(h.alias("h"), piece.alias("piece")).orderBy("h").limit(BURN_IN).collect()]
+    first = [bytes(r["piece"]) for r in own.select(h.alias("h"), piece.alias("piece")).transform(smallest, "h", BURN_IN, "piece").collect()]
     segments, lengths = segmented(first)
     for _ in range(BURNS):
         model = Model.estimated(*model.expected(segments, lengths), shares)
