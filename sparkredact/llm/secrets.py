@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, smallest, table
 
 #: Snippets around findings and snippets from anywhere that the field learns from, and their code points.
 SAMPLE, SNIPPET = 400, 500
@@ -297,7 +297,7 @@ def snippets(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int, int,
         start = F.greatest(at - SNIPPET // 2, F.lit(1))
         # Snippets are cut before the order, so that no whole text is sent on.
         own = own.select("h", F.substring(F.col("text"), start, F.lit(SNIPPET)).alias("snippet"), F.length("text").alias("chars"), count("\n").alias("lines"), count("=").alias("equals"))
-        own = own.orderBy("h", "snippet", "chars").limit(sample)
+        own = smallest(own, "h", sample, "snippet", "chars")
         out += [(r.snippet, r.chars, r.lines, r.equals, found) for r in own.collect()]
     return out
 
