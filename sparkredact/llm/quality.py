@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, slices, table
+from .common import id_bucket, slices, smallest, table
 
 #: Labelled vectors at most, latent dimensions, voters, the power of their similarity, and the least score of a good text.
 LABELLED, DIMENSIONS, NEIGHBOURS, POWER, GOOD = 4000, 48, 25, 4, 0.3
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Voters:
     """Voters from the labelled documents that aren't held out, bound at most."""
     good = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality")).filter(id_bucket("doc_id") != 0)
     # The bound is applied to the labels first: so few ids fit a broadcast, and no text but the sample's is moved.
-    chosen = good.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h", "doc_id").limit(bound)
+    chosen = good.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    chosen = smallest(chosen, "h", bound, "doc_id")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
