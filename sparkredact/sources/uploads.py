@@ -59,7 +59,9 @@ def decoded(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> DataFrame
     """
     files = checked(read_files(spark, path), limit).select("path", "error", "format")
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path).select("image.*")
-    rows = files.join(images.withColumnRenamed("origin", "path"), "path", "left")
+    # The two sources write the scheme of local files with one slash and with three.
+    plain = F.regexp_replace("origin", "^file:/+", "file:/")
+    rows = files.withColumn("_at", F.regexp_replace("path", "^file:/+", "file:/")).join(images.withColumn("_at", plain).drop("origin"), "_at", "left")
     good = pixels_ok(F.col("height"), F.col("width"), F.col("nChannels"), F.col("data"))
     rows = rows.withColumn("error", F.coalesce("error", F.when(~good, error("INVALID_IMAGE", "The file cannot be decoded as an image."))))
     from ..operators.images import on_white
