@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import classify
+from ..operators.layers import regions
 
 SEGMENT_SCHEMA = "image_id string, seg_idx int, text string, confidence double, arrived timestamp"
 
@@ -21,12 +22,12 @@ def segments_in(spark: SparkSession, folder: str, schema: str = SEGMENT_SCHEMA,
 
 def detected(stream: DataFrame) -> DataFrame:
     """The sensitive segments of a stream."""
-    return classify(stream).filter(F.size("categories") > 0)
+    return regions(classify(stream))
 
 
 def category_counts(stream: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(window, category, n): categories in windows of arrival, late ones until the watermark has passed."""
-    each = detected(stream.withWatermark("arrived", late)).select("arrived", F.explode("categories").alias("category"))
+    each = detected(stream.withWatermark("arrived", late)).select("arrived", F.explode_outer("categories").alias("category"))
     return each.groupBy(F.window("arrived", window), "category").agg(F.count("*").alias("n"))
 
 
