@@ -49,13 +49,18 @@ def polygon_segments(results: DataFrame) -> DataFrame:
     among them, and otherwise, the line is one segment. A line without polygon is left out.
     """
     point = lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))
-    zipped = results.select("image_id", "width", "height", F.posexplode(F.arrays_zip("rec_texts", "rec_scores", "rec_polys", "text_word", "text_word_region")).alias("line", "l"))
+    arrays = ("rec_texts", "rec_scores", "rec_polys", "text_word", "text_word_region")
+    # Missing arrays are empty ones: zipped with a null the whole would be null.
+    full = results.select("image_id", "width", "height", *(F.coalesce(F.col(c), F.array().cast(results.schema[c].dataType)).alias(c) for c in arrays))
+    zipped = full.select("image_id", "width", "height", F.posexplode(F.arrays_zip(*arrays)).alias("line", "l"))
     quad = lambda poly: quad_to_box(F.transform(poly, point), F.col("width"), F.col("height"))
     boxes = F.transform("l.text_word_region", quad)
     lines = zipped.select("image_id", "line", "l", confidence(F.col("l.rec_scores")).alias("confidence"), quad(F.col("l.rec_polys")).alias("box"), boxes.alias("boxes"))
     by_word = (F.size("l.text_word") > 0) & (F.size("l.text_word") == F.size("boxes")) & ~F.exists("boxes", lambda b: b.isNull())
     words = F.arrays_zip(F.col("l.text_word").alias("text"), F.col("boxes").alias("box"))
     whole = F.array(F.struct(F.col("l.rec_texts").alias("text"), F.col("box").alias("box")))
-    lines = lines.filter(F.col("l.rec_polys").isNotNull()).select("image_id", "line", "confidence", F.posexplode(F.when(F.coalesce(by_word, F.lit(False)), words).otherwise(whole)).alias("word", "s"))
-    rows = lines.select("image_id", "line", "word", F.col("s.text").alias("text"), F.col("s.box").alias("box"), "confidence")
+    parts = F.when(F.coalesce(by_word, F.lit(False)), words).otherwise(whole)
+    parts = F.transform(parts, lambda s: F.struct(s["text"].alias("text"), s["box"].alias("box"), F.col("confidence").alias("confidence")))
+    lines = lines.filter(F.col("l.rec_polys").isNotNull()).select("image_id", "line", F.posexplode(parts).alias("word", "s"))
+    rows = lines.select("image_id", "line", "word", "s.text", "s.box", "s.confidence")
     return _numbered(rows.filter(F.col("box").isNotNull() & ~blank(F.coalesce("text", F.lit("")))), "line", "word")
