@@ -12,7 +12,10 @@ norm. Every entry goes to its nearest centroid and, at a boundary, to up to
 Queries search the centroids' neighbour graph best-first and take all lists
 whose distance is within ``RATIO`` of the best. Lists longer than ``LIST`` are
 dealt out in pieces, queries of a list in pieces of ``ASKED``; a task holds one
-piece of each and computes exact products in double precision.
+piece of each and computes exact products in double precision. The ``AHEAD``
+nearest lists of a query are read first; of the others only what reaches the
+last place of their answers is returned, so a query makes few rows however
+many lists it reads.
 
 The scores returned are exact; which vectors are found is approximate.
 ``brute_force`` computes exact answers in blocks, and tests hold recall against it.
@@ -45,6 +48,8 @@ REPLICAS, NEAR, APART = 3, 1.05, 0.05
 #: How much farther than its nearest list the lists that a query reads may be. On vectors without structure, whose lists are
 #: all about as far, that is many; on clustered ones few.
 RATIO = 1.14
+#: Nearest lists of a query that are read first; their answers bound what the others need to return.
+AHEAD = 4
 #: Neighbours in the centroids' graph, random links besides, and the breadth at which a search goes on regardless of the ratio.
 LINKS, SHORTCUTS, BREADTH = 16, 4, 32
 
@@ -71,8 +76,14 @@ class Centroids:
         rng = np.random.default_rng(5)
         n = len(self.points)
         near = [self._near(self.points[i : i + 512], min(LINKS + 1, n)) for i in range(0, n, 512)]
-        self.links = [np.unique(np.concatenate([row, rng.integers(0, n, SHORTCUTS)])) for row in np.concatenate(near)]
+        links = [set(row.tolist()) | set(rng.integers(0, n, SHORTCUTS).tolist()) for row in np.concatenate(near)]
+        for a in range(n):  # links go both ways, or a centroid that is nobody's neighbour would not be found
+            for b in list(links[a]):
+                links[b].add(a)
+        self.links = [np.array(sorted(own)) for own in links]
         self.starts = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
+        # A centroid may be a point of the sample itself: what counts as near is the usual distance at least.
+        self.usual = float(np.mean([self._distances(points[i : i + 1024]).min(axis=1).mean() for i in range(0, len(points), 1024)]))
 
     def lifted(self, rows: np.ndarray) -> np.ndarray:
         """Rows with one more coordinate, so that all have the same norm."""
@@ -118,7 +129,7 @@ class Centroids:
         queue = list(zip(distances(self.starts).tolist(), self.starts.tolist(), strict=True))
         seen = {c: d for d, c in queue}
         heapq.heapify(queue)
-        reach = min(d for d, _ in queue) * RATIO**2
+        reach = max(min(d for d, _ in queue), self.usual**2) * RATIO**2
         best = heapq.nlargest(BREADTH, (-d for d, _ in queue))  # the nearest so far, the farthest of them first
         heapq.heapify(best)
         while queue:
@@ -130,7 +141,7 @@ class Centroids:
                 continue
             for e, x in zip(distances(fresh).tolist(), fresh.tolist(), strict=True):
                 seen[x] = e
-                reach = min(reach, e * RATIO**2)
+                reach = min(reach, max(e, self.usual**2) * RATIO**2)
                 heapq.heappush(queue, (e, x))
                 heapq.heappush(best, -e)
                 if len(best) > BREADTH:
@@ -176,7 +187,7 @@ def rows_of(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _listed(rows: DataFrame, index: Centroids, d: int, names: list[str], sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """rows (the columns named, and embedding) once for each of their lists, or with sizes of those to read; first: the nearest."""
+    """rows (the columns named, and embedding) once for each of their lists, or with sizes of those to read; nth: the nearest is 0."""
     held = rows.sparkSession.sparkContext.broadcast((index, sizes))  # CENTROIDS rows at most
     source = rows.select(*names, "embedding")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
@@ -190,29 +201,57 @@ def _listed(rows: DataFrame, index: Centroids, d: int, names: list[str], sizes:
                 lists = own.lists(x) if counted is None else [own.search(q, counted, least) for q in x]
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
                 taken = part.take(pa.array(np.repeat(np.arange(len(lists)), counts)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([c for own_lists in lists for c in own_lists], pa.int32()), pa.array([i == 0 for own_lists in lists for i in range(len(own_lists))], pa.bool_())], names=[*taken.schema.names, "list", "first"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([c for own_lists in lists for c in own_lists], pa.int32()), pa.array([i for own_lists in lists for i in range(len(own_lists))], pa.int32())], names=[*taken.schema.names, "list", "nth"])
 
-    return source.mapInArrow(run, f"{fields}, list int, first boolean")
+    return source.mapInArrow(run, f"{fields}, list int, nth int")
 
 
-def best_of(queries: np.ndarray, entries: np.ndarray, first: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, entry, score) of the k best entries of each query; first: the smallest id of each entry.
+def best_of(queries: np.ndarray, entries: np.ndarray, first: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, float]]:
+    """(query, entry, score) of the k best entries of each query that reach its floor; first: the smallest id of each entry.
 
     A matrix product finds who can be among them; what is returned is summed for
     each pair alone, in one order, so that equal vectors have equal scores.
     """
     rough = queries @ entries.T
     take = min(k, len(entries))
-    least = np.partition(rough, len(entries) - take, axis=1)[:, len(entries) - take]
+    least = np.maximum(np.partition(rough, len(entries) - take, axis=1)[:, len(entries) - take], floor)
+    least = np.where(np.isfinite(least), least, -np.finfo(float).max)
     slack = 1e-9 * (1 + np.abs(least))
     q, e = np.nonzero(rough >= (least - slack)[:, None])
     scores = np.einsum("ij,ij->i", queries[q], entries[e])
+    q, e, scores = (x[scores >= floor[q]] for x in (q, e, scores))
     order = np.lexsort((first[e], -scores, q))
     q, e, scores = q[order], e[order], scores[order]
     place = np.arange(len(q)) - np.searchsorted(q, q, "left")
     return [(int(a), int(b), float(s)) for a, b, s in zip(q[place < take], e[place < take], scores[place < take], strict=True)]
 
 
+def _answers(lists: DataFrame, reads: DataFrame, d: int, k: int) -> DataFrame:
+    """(asked_id, vec_id, score): of each list read the k + 1 best that reach the query's floor."""
+    # Pieces of long lists, and of the queries of a list: each piece of one meets each piece of the other.
+    pieces = lists.groupBy("list").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).join(reads.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns")), "list")
+    pieces = written(pieces, "pieces")
+    part = F.pmod(F.xxhash64("embedding"), F.col("parts")).cast("int")
+    turn = F.pmod(F.xxhash64("asked_id"), F.col("turns")).cast("int")
+    left = lists.join(pieces, "list").select("list", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "ids", "embedding")
+    right = reads.join(pieces, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn.alias("turn"), "asked_id", "floor", "embedding")
+
+    def run(own: pa.Table, asking: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        if own.num_rows and asking.num_rows:
+            ids = own.column("ids").to_pylist()
+            x, q = (rows_of(t.column("embedding").combine_chunks(), d) for t in (own, asking))
+            names = asking.column("asked_id").to_pylist()
+            floor = asking.column("floor").to_numpy()
+            first = np.array([r[0] for r in ids])
+            for i in range(0, len(q), 256):
+                found += [(names[i + a], v, s) for a, b, s in best_of(q[i : i + 256], x, first, k + 1, floor[i : i + 256]) for v in ids[b]]
+        return pa.table({"asked_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
+
+    keys = ["list", "part", "turn"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "asked_id long, vec_id long, score double")
+
+
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds the k nearest other ids."""
     rows = written(usable(vectors), "vectors")
@@ -231,31 +270,14 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     index = Centroids(np.array(sample["embedding"].tolist(), np.float64).reshape(-1, d), math.sqrt(total["square"]), entries.count())
     lists = written(_listed(entries, index, d, ["ids"]), "lists")
     sizes = np.zeros(len(index.points), np.int64)
-    for r in lists.filter("first").groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+    for r in lists.filter("nth = 0").groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
         sizes[r["list"]] = r["n"]
     reads = written(_listed(queries, index, d, ["asked_id"], sizes, k + 1), "reads")
-    # Pieces of long lists, and of the queries of a list: each piece of one meets each piece of the other.
-    pieces = lists.groupBy("list").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).join(reads.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns")), "list")
-    pieces = written(pieces, "pieces")
-    part = F.pmod(F.xxhash64("embedding"), F.col("parts")).cast("int")
-    turn = F.pmod(F.xxhash64("asked_id"), F.col("turns")).cast("int")
-    left = lists.join(pieces, "list").select("list", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "ids", "embedding")
-    right = reads.join(pieces, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn.alias("turn"), "asked_id", "embedding")
-
-    def run(own: pa.Table, asking: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
-        if own.num_rows and asking.num_rows:
-            ids = own.column("ids").to_pylist()
-            x, q = (rows_of(t.column("embedding").combine_chunks(), d) for t in (own, asking))
-            names = asking.column("asked_id").to_pylist()
-            for i in range(0, len(q), 256):
-                best = best_of(q[i : i + 256], x, np.array([r[0] for r in ids]), k + 1)
-                found += [(names[i + a], v, s) for a, b, s in best for v in ids[b]]
-        return pa.table({"asked_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
-
-    keys = ["list", "part", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "asked_id long, vec_id long, score double")
+    near = written(_answers(lists, reads.filter(F.col("nth") < AHEAD).withColumn("floor", F.lit(float("-inf"))), d, k), "near")
     by_score = Window.partitionBy("asked_id").orderBy(F.desc("score"), "vec_id")
+    last = near.groupBy("asked_id", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(by_score)).filter(F.col("place") == k + 1).select("asked_id", F.col("score").alias("floor"))
+    others = reads.filter(F.col("nth") >= AHEAD).join(last, "asked_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = near.unionByName(_answers(lists, others, d, k))
     best = found.groupBy("asked_id", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k + 1)
     # Every query takes the answers of its vector, without itself.
     own = asked.join(queries, "embedding").select("query_id", "asked_id").join(best.drop("place"), "asked_id").filter("vec_id <> query_id")
