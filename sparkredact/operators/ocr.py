@@ -64,3 +64,34 @@ def polygon_segments(results: DataFrame) -> DataFrame:
     lines = lines.filter(F.col("l.rec_polys").isNotNull()).select("image_id", "line", F.posexplode(parts).alias("word", "s"))
     rows = lines.select("image_id", "line", "word", "s.text", "s.box", "s.confidence")
     return _numbered(rows.filter(F.col("box").isNotNull() & ~blank(F.coalesce("text", F.lit("")))), "line", "word")
+
+
+def _quad_lines(results: DataFrame) -> DataFrame:
+    """Each line of nested results with what could be read of it; ok tells whether it is a polygon with a text."""
+    lines = F.from_json("body", "array<string>")
+    # Some results have the lines of the only page in a list of their own.
+    inner = F.from_json(F.get(lines, F.lit(0)), "array<string>")
+    nested = (F.size(lines) == 1) & F.get(inner, F.lit(0)).startswith("[[") & F.from_json(F.get(inner, F.lit(0)), "array<array<double>>").isNull()
+    rows = results.select("image_id", "width", "height", F.posexplode_outer(F.when(F.coalesce(nested, F.lit(False)), inner).otherwise(lines)).alias("line", "l")).filter("l IS NOT NULL AND l <> 'null'")
+    pair = F.from_json("l", "array<string>")
+    read = rows.select("image_id", "width", "height", "line", F.from_json(F.get(pair, F.lit(0)), "array<array<double>>").alias("poly"), F.from_json(F.get(pair, F.lit(1)), "array<string>").alias("t"))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    read = read.withColumn("box", quad_to_box(F.transform("poly", point), F.col("width"), F.col("height"))).withColumn("text", F.get("t", F.lit(0)))
+    return read.select("image_id", "line", "text", "box", confidence(F.get("t", F.lit(1))).alias("confidence"), (F.col("box").isNotNull() & F.col("text").isNotNull()).alias("ok"))
+
+
+def quad_segments(results: DataFrame) -> DataFrame:
+    """Segments of results (image_id, width, height, body JSON) of lines [polygon, [text, score]].
+
+    Null lines are skipped. An image with a line of another shape gives no segments; see quad_errors().
+    """
+    lines = _quad_lines(results)
+    whole = lines.groupBy("image_id").agg(F.min("ok").alias("ok")).filter("ok").select("image_id")
+    good = lines.join(whole, "image_id", "left_semi").filter(~blank(F.coalesce("text", F.lit(""))))
+    return _numbered(good, "line")
+
+
+def quad_errors(results: DataFrame) -> DataFrame:
+    """(image_id, code, message) of images with a line that can't be read."""
+    bad = _quad_lines(results).groupBy("image_id").agg(F.min("ok").alias("ok")).filter("NOT ok")
+    return bad.select("image_id", F.lit("OCR_FAILED").alias("code"), F.lit("malformed line").alias("message"))

@@ -55,3 +55,14 @@ SIZES = [("s1", 1650, 1275), ("s2", 1100, 850), ("s3", 412, 300), ("s4", 413, 30
 FILES = [("f1", "89504E470D0A1A0A00", 9), ("f2", "FFD8FFE0", 4), ("f3", "474946383961", 6), ("f4", "424D0000", 4), ("f5", "49492A00", 4), ("f6", "524946460000000057454250", 12), ("f7", "", 0), ("f8", "00010203", 4), ("f9", "FFD8FF", 10_485_761), ("f10", "FFD8FF", 10_485_760)]
 #: layer, image_id, seg_idx, categories.
 OUTPUTS = [("a", "p1", 0, ["person_name", "email"]), ("b", "p1", 0, ["person_name", "nonsense"]), ("b", "p1", 2, ["organization_name"]), ("a", "p2", 0, []), ("b", "p2", 2, None)]
+#: image_id, body of a result of lines [polygon, [text, score]].
+_QUAD = "[[0,0],[9,0],[9,9],[0,9]]"
+QUAD_RESULTS = [("flat", f'[[{_QUAD},["a b",0.5]],null,[{_QUAD},["c","x"]]]'), ("page", f'[[[{_QUAD},["a",0.25]]]]'), ("bad", f'[[{_QUAD},["a",0.5]],[[],["b",1]]]'), ("empty", "[]")]
+#: image_id, texts, scores, polygons, words, regions of the words.
+_SQUARE = [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]]
+POLYGON_RESULTS = [
+    ("words", ["a b c"], [0.5], [_SQUARE], [["a", " ", "c"]], [[_SQUARE, _SQUARE, _SQUARE]]),
+    ("unequal", ["a b"], [None], [_SQUARE], [["a", "b"]], [[_SQUARE]]),
+    ("bad", ["a b"], [7.0], [_SQUARE], [["a", "b"]], [[_SQUARE, []]]),
+    ("none", [], [], [], [], []),
+]

@@ -210,6 +210,19 @@ def ocr_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.overlay_errors(_named(spark, fixtures.OVERLAYS, "image_id string, body string"))
 
 
+@query(_literals([("flat", 0, "a b", 0.5), ("flat", 1, "c", 0.0), ("page", 0, "a", 0.25)], "image_id", "seg_idx", "text", "confidence"))
+def ocr_quad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _named(spark, fixtures.QUAD_RESULTS, "image_id string, body string").withColumn("width", F.lit(99)).withColumn("height", F.lit(99))
+    return ocr.quad_segments(rows).select("image_id", "seg_idx", "text", "confidence")
+
+
+@query(_literals([("words", 0, "a", 0.5), ("words", 1, "c", 0.5), ("unequal", 0, "a b", 0.0), ("bad", 0, "a b", 1.0)], "image_id", "seg_idx", "text", "confidence"))
+def ocr_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "image_id string, rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<double>>>, text_word array<array<string>>, text_word_region array<array<array<array<double>>>>"
+    rows = _named(spark, fixtures.POLYGON_RESULTS, schema).withColumn("width", F.lit(99)).withColumn("height", F.lit(99))
+    return ocr.polygon_segments(rows).select("image_id", "seg_idx", "text", "confidence")
+
+
 _SIZED = f"SELECT *, height / 11.0 AS d FROM ({_literals(fixtures.SIZES, 'image_id', 'height', 'width')})"
 _SCALED = f"SELECT *, CASE WHEN d < 150 THEN least(150 / d, 4.0) ELSE 1.0 END AS f FROM ({_SIZED})"
 _GATED = f"SELECT *, CASE WHEN f > 1 THEN greatest(round_even(height * f, 0)::INT, 1) ELSE height END AS nh, CASE WHEN f > 1 THEN greatest(round_even(width * f, 0)::INT, 1) ELSE width END AS nw FROM ({_SCALED})"

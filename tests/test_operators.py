@@ -117,3 +117,23 @@ def test_results_and_json(spark):
 def test_summary_order(spark):
     rows = classify(spark.createDataFrame([("45%",), ("5%",), ("a@b.io",)], "text string"))
     assert [(r.category, r.n) for r in report.category_summary(rows).collect()] == [("percent_value", 2), ("email", 1), ("url", 1)]
+
+
+def test_nested_lines_are_read_whole_or_not_at_all(spark):
+    quad = "[[0,0],[9,0],[9,9],[0,9]]"
+    rows = [("flat", f'[[{quad},["a b",0.5]],null,[{quad},["c","x"]]]'), ("page", f'[[[{quad},["a",0.25]]]]'), ("bad", f'[[{quad},["a",0.5]],[[],["b",1]]]'), ("empty", "[]"), ("null", "null")]
+    df = spark.createDataFrame([(i, 99, 99, b) for i, b in rows], "image_id string, width int, height int, body string")
+    got = sorted((r.image_id, r.seg_idx, r.text, r.confidence) for r in ocr.quad_segments(df).collect())
+    assert got == [("flat", 0, "a b", 0.5), ("flat", 1, "c", 0.0), ("page", 0, "a", 0.25)]
+    assert [r.image_id for r in ocr.quad_errors(df).collect()] == ["bad"]
+
+
+def test_settings(spark, monkeypatch):
+    from sparkredact.plans.settings import settings
+
+    assert settings(spark).passthrough
+    monkeypatch.setenv("SPARKREDACT_RECOGNITION", "polygons")
+    assert not settings(spark).passthrough
+    monkeypatch.setenv("SPARKREDACT_RECOGNITION", "no such")
+    with pytest.raises(ValueError):
+        settings(spark)
