@@ -42,7 +42,7 @@ def _literals(rows, *columns: str) -> str:
             return "[" + ", ".join(map(value, v)) + "]"
         if isinstance(v, tuple):
             return "{'x': " + value(v[0]) + ", 'y': " + value(v[1]) + "}"
-        return repr(v)
+        return f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
 
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) v({', '.join(columns)})"
 
@@ -92,7 +92,7 @@ def category_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_docs_by_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = layers.regions(classify(document_lines(spark, sf_dir))).groupBy("image_id").agg(F.count("*").alias("n_regions"))
     top = counts.orderBy(F.desc("n_regions"), "image_id").limit(20)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_regions"), "image_id")))
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_regions"), "image_id")).cast("long"))
 
 
 @query(f"SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id::VARCHAR IN (SELECT image_id FROM ({_FOUND}) WHERE len(categories) > 0)")
