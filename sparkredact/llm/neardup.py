@@ -11,9 +11,10 @@
    threshold it fails with a chance under ``MISSED``.
 3. The members of a key with ``SMALL`` members or fewer are paired with each
    other; those of a larger key with its smallest node, the hub, so that pairs
-   grow with the members and not with their square. Pairs whose sizes or
-   signatures are too far apart for the threshold go; the rest are confirmed on
-   the full sets of both texts.
+   grow with the members and not with their square. A key's rows carry a sketch,
+   the lowest bit of each symbol: pairs whose sizes or sketches are too far apart
+   for the threshold are dropped in the JVM, those whose signatures are after
+   that; the rest are confirmed on the full sets of both texts.
 4. Keys whose members are of one component by then need no further look.
    The others are gathered into families (nodes that share such keys), and a
    family's members of different components are compared on their full sets in
@@ -45,7 +46,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, table, written
@@ -78,8 +79,22 @@ class Plan:
     @property
     def distance(self) -> int:
         """Signatures of linked sets are no further apart than this, but for a chance of some 1e-7."""
-        p = 1 - self.per_cent / 100
-        return min(self.symbols, math.ceil(self.symbols * p + 5.3 * math.sqrt(self.symbols * p * (1 - p)) + 1))
+        return _most(self.symbols, 1 - self.per_cent / 100)
+
+    @property
+    def bits(self) -> int:
+        """Bits of the sketch: one of each symbol, of 63 symbols at most."""
+        return min(63, self.symbols)
+
+    @property
+    def bit_distance(self) -> int:
+        """The same for sketches; a bit differs where the symbols do, half of the time."""
+        return _most(self.bits, (1 - self.per_cent / 100) / 2)
+
+
+def _most(n: int, p: float) -> int:
+    """More of n draws than this succeed with a chance of some 1e-7 only, if each does with chance p."""
+    return min(n, math.ceil(n * p + 5.3 * math.sqrt(n * p * (1 - p)) + 1))
 
 
 def plan(words: int, per_cent: int, errors: int = 1) -> Plan:
@@ -163,6 +178,11 @@ class Signer:
         return out.reshape(len(own), -1).view(np.int64)
 
 
+def sketches(signatures: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest bit of the first symbols of each signature, as one number."""
+    return (signatures[:, :bits].astype(np.int64) & 1) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
 def signed(docs: DataFrame, how: Plan) -> DataFrame:
     """(doc_id, place, n_shingles, node, signature) of each row of docs.
 
@@ -186,7 +206,7 @@ def signed(docs: DataFrame, how: Plan) -> DataFrame:
 
 
 def keyed(nodes: DataFrame, how: Plan) -> DataFrame:
-    """(key, node, n) for all keys of nodes (node, n, signature)."""
+    """(key, node, n, sketch) for all keys of nodes (node, n, signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(how)
@@ -197,13 +217,16 @@ def keyed(nodes: DataFrame, how: Plan) -> DataFrame:
                 keys = signer.keys(signatures)
                 each = keys.shape[1]
                 node, n = (part.column(c).to_numpy(zero_copy_only=False).repeat(each) for c in ("node", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(n)], names=["key", "node", "n"])
+                sketch = sketches(signatures, how.bits).repeat(each)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(n), pa.array(sketch)], names=["key", "node", "n", "sketch"])
 
-    return nodes.select("node", "n", "signature").mapInArrow(run, "key long, node long, n long")
+    return nodes.select("node", "n", "signature").mapInArrow(run, "key long, node long, n long, sketch long")
 
 
-def near_in_size(how: Plan, n="n", m="m"):
-    return 100 * F.least(n, m) >= how.per_cent * F.greatest(n, m)
+def may_link(how: Plan, n: str, m: str, sketch: str, other: str) -> Column:
+    """Whether sizes and sketches of two members of a key allow a link."""
+    size = 100 * F.least(n, m) >= how.per_cent * F.greatest(n, m)
+    return size & (F.bit_count(F.col(sketch).bitwiseXOR(F.col(other))) <= how.bit_distance)
 
 
 def near_in_signature(pairs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
@@ -258,20 +281,20 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def with_hubs(members: DataFrame) -> DataFrame:
-    """members (key, node, n) of keys that have several, with the hub of their key and their number."""
-    own = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    return members.join(own, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "members")
+    """members (key, node, n, sketch) of keys that have several, with the hub of their key and their number."""
+    own = members.groupBy("key").agg(F.min(F.struct("node", "n", "sketch")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    return members.join(own, "key").select("key", "node", "n", "sketch", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.sketch").alias("hub_sketch"), "members")
 
 
 def pairs_within(members: DataFrame, how: Plan) -> DataFrame:
-    """All pairs (a, b) of members of a key that are near in size."""
-    own = members.select("key", F.col("node").alias("a"), "n")
-    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
-    return own.join(other, "key").filter("a < b").filter(near_in_size(how)).select("a", "b")
+    """All pairs (a, b) of members of a key that may be linked."""
+    own = members.select("key", F.col("node").alias("a"), "n", "sketch")
+    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    return own.join(other, "key").filter("a < b").filter(may_link(how, "n", "m", "sketch", "other")).select("a", "b")
 
 
 def pairs_with_hub(members: DataFrame, how: Plan) -> DataFrame:
-    return members.filter("node <> hub").filter(near_in_size(how, "n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return members.filter("node <> hub").filter(may_link(how, "n", "hub_n", "sketch", "hub_sketch")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
