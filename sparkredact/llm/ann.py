@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import smallest, table, written
 
 #: Sample rows and centroids at most; entries wanted in a list, and in a piece of one at most.
 SAMPLE, CENTROIDS, WANTED, LIST, ASKED = 40_000, 4_096, 250, 2_000, 1_000
@@ -266,8 +266,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     entries = written(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
     asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     queries = written(asked.groupBy("embedding").agg(F.min("query_id").alias("asked_id")), "queries")
-    sample = entries.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").toPandas()
-    index = Centroids(np.array(sample["embedding"].tolist(), np.float64).reshape(-1, d), math.sqrt(total["square"]), entries.count())
+    drawn = smallest(entries.select("embedding", F.xxhash64("embedding").alias("h")), "h", SAMPLE, "embedding").select("embedding")
+    sample = rows_of(drawn.toArrow().column("embedding").combine_chunks(), d)
+    index = Centroids(sample, math.sqrt(total["square"]), entries.count())
     lists = written(_listed(entries, index, d, ["ids"]), "lists")
     sizes = np.zeros(len(index.points), np.int64)
     for r in lists.filter("nth = 0").groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():

@@ -10,12 +10,13 @@
    ``chunks * (errors + 1) - 1`` or less, and for pairs at the similarity
    threshold it fails with a chance under ``MISSED``.
 3. The members of a key with ``SMALL`` members or fewer are paired with each
-   other; those of a larger key with its smallest node, the hub, so that pairs
-   grow with the members and not with their square. A key's rows carry a sketch,
+   other. A member of larger keys is paired with two of their hubs, a key's hub
+   being its smallest node, so that pairs grow with the nodes and not with the
+   square of a group. A key's rows carry a sketch,
    the lowest bit of each symbol: pairs whose sizes or sketches are too far apart
    for the threshold are dropped in the JVM, those whose signatures are after
    that; the rest are confirmed on the full sets of both texts.
-4. Keys whose members are of one component by then need no further look.
+4. Larger keys whose members are of one component by then need no further look.
    The others are gathered into families (nodes that share such keys), and a
    family's members of different components are compared on their full sets in
    blocks: a task holds two blocks of at most some ``BLOCK`` shingles, builds an
@@ -293,21 +294,24 @@ def pairs_within(members: DataFrame, how: Plan) -> DataFrame:
     return own.join(other, "key").filter("a < b").filter(may_link(how, "n", "m", "sketch", "other")).select("a", "b")
 
 
-def pairs_with_hub(members: DataFrame, how: Plan) -> DataFrame:
-    return members.filter("node <> hub").filter(may_link(how, "n", "hub_n", "sketch", "hub_sketch")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+def pairs_with_hubs(members: DataFrame, how: Plan) -> DataFrame:
+    """Pairs (a, b) of each node b with the smallest and the largest of its keys' hubs that it may be linked with."""
+    own = members.filter("node <> hub").filter(may_link(how, "n", "hub_n", "sketch", "hub_sketch"))
+    own = own.groupBy("node").agg(F.min("hub").alias("least"), F.max("hub").alias("most"))
+    return own.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("a"), F.col("node").alias("b"))
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
     """(node, root) for the nodes that confirmed links join to others."""
     shared = written(with_hubs(keyed(nodes, how)), "shared")
     small, large = shared.filter(F.col("members") <= SMALL), shared.filter(F.col("members") > SMALL)
-    pairs = pairs_within(small, how).union(pairs_with_hub(large, how)).distinct()
+    pairs = pairs_within(small, how).union(pairs_with_hubs(large, how)).distinct()
     near = written(near_in_signature(pairs, nodes, how), "near")
     texts = written(texts_of(docs, nodes, ends_of(near)), "texts")
     links = written(confirmed(near, texts, how), "links")
     labels = components(links)
-    # A hub is done with its key; a key whose other members are of one component is done as well.
-    left = large.filter("node <> hub").select("key", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A key whose members are of one component is done.
+    left = large.select("key", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("first"), F.count("*").alias("members")).filter("least <> most")
     left = written(left.join(mixed_keys.select("key", "first", "members"), "key"), "left")
     if left.isEmpty():
