@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -197,7 +198,7 @@ class Field:
 def trained(examples: list[tuple[list[str], list[int], tuple[str, ...]]], steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Field:
     """Maximum likelihood with L2 decay over (words, tags, file features), by forward-backward and steps of adaptive size."""
     index: dict[str, int] = {}
-    rows = []
+    flat, counts = array("i"), array("i")
     for words, _, file in examples:
         each = [word_features(w) for w in words]
         for t in range(len(words)):
@@ -205,10 +206,12 @@ def trained(examples: list[tuple[list[str], list[int], tuple[str, ...]]], steps:
             own += ["p:" + f for f in each[t - 1]] if t > 0 else []
             own += ["pp:" + f for f in each[t - 2]] if t > 1 else []
             own += ["n:" + f for f in each[t + 1]] if t + 1 < len(words) else []
-            rows.append([index.setdefault(f, len(index)) for f in own])
+            flat.extend(index.setdefault(f, len(index)) for f in own)
+            counts.append(len(own))
     n, longest = len(examples), max(len(w) for w, _, _ in examples)
-    flat, counts = np.fromiter((i for r in rows for i in r), np.int64), np.array([len(r) for r in rows])
-    token = np.repeat(np.arange(len(rows)), counts)
+    flat, counts = np.frombuffer(flat, np.int32), np.frombuffer(counts, np.int32)
+    total = len(counts)
+    token = np.repeat(np.arange(total, dtype=np.int32), counts)
     lengths = np.array([len(w) for w, _, _ in examples])
     at = np.concatenate([i * longest + np.arange(m) for i, m in enumerate(lengths)])
     gold = np.concatenate([np.array(tags) for _, tags, _ in examples])
@@ -226,7 +229,7 @@ def trained(examples: list[tuple[list[str], list[int], tuple[str, ...]]], steps:
     square = [np.zeros_like(w), np.zeros_like(t)]
     target = np.eye(3)[gold]
     for step in range(1, steps + 1):
-        own = np.stack([np.bincount(token, w[flat, y], len(rows)) for y in range(3)], axis=1)
+        own = np.stack([np.bincount(token, w[flat, y], total) for y in range(3)], axis=1)
         e = np.zeros((n * longest, 3))
         e[at] = own
         e = e.reshape(n, longest, 3)
@@ -244,12 +247,11 @@ def trained(examples: list[tuple[list[str], list[int], tuple[str, ...]]], steps:
             backward[:, i] = np.where(live[:, i + 1, None], b, 1)
         share = forward * backward
         share /= share.sum(axis=2, keepdims=True).clip(1e-300)
-        expected = np.zeros((3, 3))
-        joint = forward[:, :-1, :, None] * move * (x[:, 1:] * backward[:, 1:] / scale[:, 1:, None])[:, :, None, :]
-        expected = (joint * pairs[:, :, None, None]).sum(axis=(0, 1))
+        ahead = x[:, 1:] * backward[:, 1:] / scale[:, 1:, None] * pairs[:, :, None]
+        expected = np.einsum("nia,nib->ab", forward[:, :-1], ahead) * move
         gap = target - share.reshape(-1, 3)[at]
-        slope_w = np.stack([np.bincount(flat, gap[token, y], len(index)) for y in range(3)], axis=1) / len(rows) - decay * w
-        slope_t = (gold_pairs - expected) / len(rows) - decay * t
+        slope_w = np.stack([np.bincount(flat, gap[token, y], len(index)) for y in range(3)], axis=1) / total - decay * w
+        slope_t = (gold_pairs - expected) / total - decay * t
         for x, slope, m, v in zip((w, t), (slope_w, slope_t), mean, square, strict=True):
             m += 0.1 * (slope - m)
             v += 0.01 * (slope**2 - v)
