@@ -266,28 +266,31 @@ def slots(node: Node, path: tuple[str, ...] = ()) -> list[tuple[Node, tuple[str,
 
 
 def placed(small: Node, wrapper: Node) -> list[int]:
-    """For each slot of a skeleton the slot of the wrapper that takes it, -1 where none does."""
+    """For each slot of a skeleton the slot of the wrapper that takes it.
+
+    A wrapper has the elements of each of its skeletons in order, with others between.
+    A sibling is taken where it has all that is below the skeleton's one; the first such
+    is always right, since what follows has the more to choose from. So no slot is left over.
+    """
     order = {id(n): i for i, (n, _) in enumerate(slots(wrapper))}
 
-    def walk(a: list[Node], b: list[Node]) -> list[int]:
-        n, m = len(a), len(b)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if a[i].key == b[j].key else 0)
-        out, i, j = [], 0, 0
-        while i < n:
-            if j < m and a[i].key == b[j].key and best[i][j] == best[i + 1][j + 1] + 1:
-                out += [order[id(b[j])]] if a[i].sig == "#" else walk(a[i].children, b[j].children)
-                i, j = i + 1, j + 1
-            elif j < m and best[i][j + 1] >= best[i + 1][j]:
+    def walk(a: list[Node], b: list[Node]) -> list[int] | None:
+        out, j = [], 0
+        for x in a:
+            took = None
+            while took is None:
+                if j == len(b):
+                    return None
+                if x.key == b[j].key:
+                    took = [order[id(b[j])]] if x.sig == "#" else walk(x.children, b[j].children)
                 j += 1
-            else:
-                out += [-1] * len(slots(a[i]))
-                i += 1
+            out += took
         return out
 
-    return walk(small.children, wrapper.children)
+    found = walk(small.children, wrapper.children)
+    if found is None:
+        raise ValueError("the wrapper doesn't take this skeleton")
+    return found
 
 
 def is_aside(path: tuple[str, ...]) -> bool:
@@ -410,7 +413,7 @@ def judged(pages: DataFrame) -> DataFrame:
 
     # A group is a host's wrapper slots: as many rows as the wrapper has slots.
     found = stats.join(by_host, "host").groupBy("host").applyInArrow(judge, "host string, verdicts array<boolean>")
-    keep = F.transform("places", lambda p: F.coalesce(F.try_element_at("verdicts", F.greatest(p, F.lit(-1)) + 1), F.lit(False)))
+    keep = F.transform("places", lambda p: F.element_at("verdicts", p + 1))
     return at.join(found, "host").select("host", "shape", F.when(F.size("places") > 0, keep).otherwise(F.array().cast("array<boolean>")).alias("keep"))
 
 

@@ -60,6 +60,30 @@ def test_aligned_wrapper_takes_every_skeleton():
         assert all(p >= 0 and whole[p][1] == path for p, (_, path) in zip(at, own, strict=True))
 
 
+def test_every_slot_is_placed_where_siblings_have_equal_keys(spark):
+    bodies = ["<section><p>A</p></section>", "<ul><li>x</li></ul><section><p>B</p></section>", "<section><table><tr><td>t</td></tr></table></section><ul><li>y</li></ul><section><p>C</p></section>"]
+    rows = [(i, "http://one/", page(0, f"<article>{body}</article>")) for i, body in enumerate(bodies)]
+    assert run(spark, rows) == {0: "A", 1: "x\nB", 2: "t\ny\nC"}
+
+
+def test_nested_siblings_with_equal_keys_are_all_placed():
+    rng = random.Random(7)
+
+    def body(depth):
+        kinds = ["<p>t</p>", "<ul><li>a</li></ul>", "<table><tr><td>1</td></tr></table>"]
+        return "".join(f"<section>{body(depth - 1)}</section>" if depth and rng.random() < 0.5 else rng.choice(kinds) for _ in range(rng.randint(1, 4)))
+
+    for _ in range(40):
+        skeletons = [extract.skeleton(f"<article>{body(3)}</article>") for _ in range(25)]
+        wrapper = skeletons[0]
+        for s in skeletons[1:]:
+            wrapper = extract.Node("html", extract.aligned(wrapper.children, extract.loaded(extract.dumped(s)).children))
+        whole = extract.slots(wrapper)
+        for s in skeletons:
+            at, own = extract.placed(s, wrapper), extract.slots(s)
+            assert at == sorted(set(at)) and [whole[p][1] for p in at] == [path for _, path in own]
+
+
 def test_verdicts_by_join_and_by_broadcast_agree(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}/", page(i, f"<article><p>t {i}</p></article>")) for i in range(9)]
     one = run(spark, rows)
