@@ -11,7 +11,8 @@ one wrapper is left: matching elements merge, others become optional groups.
 
 Slots of the wrapper are judged on the host's whole evidence: the elements and
 class names around them, the share of linked text, and whether the text is the
-same on all pages. Where the wrapper has an article or main element, only slots
+same on all pages, of which there are three at least; copies, pages with the same
+texts where main text can be, count as one. Where the wrapper has an article or main element, only slots
 inside it count, or else those under the element that holds most unlinked,
 varying text. Each page is read again with the verdicts on its slots.
 
@@ -307,10 +308,10 @@ def is_aside(path: tuple[str, ...]) -> bool:
     return False
 
 
-def verdicts(wrapper: Node, pages: list[int], chars: list[int], linked: list[int], same: list[bool]) -> list[bool]:
+def verdicts(wrapper: Node, distinct: list[int], chars: list[int], linked: list[int], same: list[bool]) -> list[bool]:
     """Which slots of a wrapper are main text; the lists tell of each slot what all pages of the host have there."""
     own = [(path, is_aside(path)) for _, path in slots(wrapper)]
-    fixed = [n >= 3 and s for n, s in zip(pages, same, strict=True)]
+    fixed = [n >= 3 and s for n, s in zip(distinct, same, strict=True)]
     inside = [any(s.split(".")[0] in ("article", "main") for s in path) for path, _ in own]
     open_ = [not aside for _, aside in own]
     if any(i and o for i, o in zip(inside, open_, strict=True)):
@@ -344,7 +345,10 @@ def _hash(text: str) -> int:
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, shape, skeleton, slot, chars, linked, text_hash): a row for each slot of each page, slot -1 for the page."""
+    """(host, shape, skeleton, slot, chars, linked, text_hash): a row for each slot of each page, slot -1 for the page.
+
+    The text_hash of a page is that of all its texts that can be main text.
+    """
     source = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kinds = {"host": pa.string(), "shape": pa.int64(), "skeleton": pa.string(), "slot": pa.int32(), "chars": pa.int64(), "linked": pa.int64(), "text_hash": pa.int64()}
 
@@ -358,7 +362,8 @@ def skeletons(pages: DataFrame) -> DataFrame:
                     own = skeleton(html)
                     text = dumped(own)
                     host, shape = host_of(url) or "", _hash(text)
-                    rows.append((host, shape, text, -1, 0, 0, 0))
+                    content = sorted(t for slot, path in slots(own) if not is_aside(path) for t, _ in slot.texts)
+                    rows.append((host, shape, text, -1, 0, 0, _hash("\n".join(content))))
                     for i, (slot, _) in enumerate(slots(own)):
                         rows.append((host, shape, None, i, sum(len(t) for t, _ in slot.texts), sum(k for _, k in slot.texts), _hash("\n".join(t for t, _ in slot.texts))))
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
@@ -388,27 +393,29 @@ def wrappers(shapes: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame) -> DataFrame:
     """(host, shape, keep array<boolean>): of each skeleton of a host, which slots are main text."""
-    rows = skeletons(pages).groupBy("host", "shape", "slot").agg(F.max("skeleton").alias("skeleton"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
+    # A sketch of a few bytes counts distinct pages; up to 7 it holds their hashes, so whether there are three is exact.
+    content = F.when(F.col("slot") == -1, F.col("text_hash"))
+    rows = skeletons(pages).groupBy("host", "shape", "slot").agg(F.max("skeleton").alias("skeleton"), F.hll_sketch_agg(content, 4).alias("contents"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
     rows = written(rows, "slots")
-    shapes = rows.filter("slot = -1").select("host", "shape", "skeleton")
+    shapes = rows.filter("slot = -1").select("host", "shape", "skeleton", "contents")
     by_host = wrappers(shapes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [placed(loaded(s), loaded(w)) for s, w in zip(batch.column("skeleton").to_pylist(), batch.column("wrapper").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(at, pa.list_(pa.int32()))], names=["host", "shape", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), batch.column("contents"), pa.array(at, pa.list_(pa.int32()))], names=["host", "shape", "contents", "places"])
 
-    at = written(shapes.join(by_host, "host").select("host", "shape", "skeleton", "wrapper").mapInArrow(place, "host string, shape long, places array<int>"), "places")
-    own = at.select("host", "shape", F.posexplode("places").alias("slot", "place"))
-    stats = rows.filter("slot >= 0").join(own, ["host", "shape", "slot"]).groupBy("host", "place").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"))
+    at = written(shapes.join(by_host, "host").select("host", "shape", "skeleton", "contents", "wrapper").mapInArrow(place, "host string, shape long, contents binary, places array<int>"), "places")
+    own = at.select("host", "shape", "contents", F.posexplode("places").alias("slot", "place"))
+    stats = rows.filter("slot >= 0").drop("contents").join(own, ["host", "shape", "slot"]).groupBy("host", "place").agg(F.hll_sketch_estimate(F.hll_union_agg("contents")).alias("distinct"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"))
 
     def judge(group: pa.Table) -> pa.Table:
         wrapper = loaded(group.column("wrapper")[0].as_py())
         n = len(slots(wrapper))
         own = {r["place"]: r for r in group.drop_columns(["wrapper"]).to_pylist()}
-        empty = {"pages": 0, "chars": 0, "linked": 0, "least": 0, "most": 0}
+        empty = {"distinct": 0, "chars": 0, "linked": 0, "least": 0, "most": 0}
         per = [own.get(i, empty) for i in range(n)]
-        keep = verdicts(wrapper, [r["pages"] for r in per], [r["chars"] for r in per], [r["linked"] for r in per], [r["least"] == r["most"] for r in per])
+        keep = verdicts(wrapper, [r["distinct"] for r in per], [r["chars"] for r in per], [r["linked"] for r in per], [r["least"] == r["most"] for r in per])
         return pa.table({"host": pa.array([group.column("host")[0].as_py()]), "verdicts": pa.array([keep], pa.list_(pa.bool_()))})
 
     # A group is a host's wrapper slots: as many rows as the wrapper has slots.

@@ -36,6 +36,18 @@ def test_pages_without_article_use_the_evidence_of_the_host(spark):
     assert all(got[i] == f"Title {i}\n{('long text ' * 20)}{i}\nmore {i}" for i in range(12))
 
 
+def test_copies_of_a_page_are_no_evidence_for_boilerplate(spark):
+    one = "<div class='c'><h2>Title</h2><p>the whole text</p></div>"
+    two = "<div class='c'><h2>Other</h2><p>another text</p><table><tr><td>only here</td></tr></table></div>"
+    rows = [(i, "http://copies/", page(i, one)) for i in range(4)] + [(4 + i, None, page(0, one)) for i in range(3)]
+    rows += [(10 + i, "http://mixed/", page(0, two)) for i in range(5)] + [(20 + i, "http://mixed/", page(i, f"<div class='c'><h2>T{i}</h2><p>text {i}</p></div>")) for i in range(3)]
+    rows += [(30 + i, "http://many/", page(0, f"<div class='x'>Same everywhere</div><div class='c'><p>text {i}</p></div>")) for i in range(40)]
+    got = run(spark, rows)
+    assert all(got[i] == "Title\nthe whole text" for i in range(7))
+    assert all(got[10 + i] == "Other\nanother text\nonly here" for i in range(5)) and all(got[20 + i] == f"T{i}\ntext {i}" for i in range(3))
+    assert all(got[30 + i] == f"text {i}" for i in range(40))
+
+
 def test_rows_that_are_odd(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://[bad", "just text"), (4, "http://a/", "<article>cut &am"), (5, "http://a/", "<nav>open<article><p>in</article>"), (None, "http://a/", "<script>if (a<b)"), (6, "http://a/", "<article>" + "<p>word</p>" * 20_000 + "</article>"), (7, "http://a/", "<div hidden><p>no</p></div><article><!-- <p>no</p> --><header><h1>Yes</h1><p>by me</p></header>t</article>")]
     got = run(spark, rows)
