@@ -12,9 +12,10 @@ one wrapper is left: matching elements merge, others become optional groups.
 Slots of the wrapper are judged on the host's whole evidence: the elements and
 class names around them, the share of linked text, and whether the text is the
 same on all pages, of which there are three at least; copies, pages with the same
-texts where main text can be, count as one. Where the wrapper has an article or main element, only slots
-inside it count, or else those under the element that holds most unlinked,
-varying text. Each page is read again with the verdicts on its slots.
+texts where main text can be, count as one. A page with slots for main text in an
+article or main element has only these. Pages of the host without such slots are
+plain: theirs are those under the element that holds most unlinked, varying text
+of plain pages. Each page is read again with the verdicts on its slots.
 
 Defined results: a null or empty html has the empty text; a page without main
 text too. A null url, or one without a host, belongs to the host ''. Blocks are
@@ -33,7 +34,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, table, written
@@ -308,17 +309,17 @@ def is_aside(path: tuple[str, ...]) -> bool:
     return False
 
 
-def verdicts(wrapper: Node, distinct: list[int], chars: list[int], linked: list[int], same: list[bool]) -> list[bool]:
-    """Which slots of a wrapper are main text; the lists tell of each slot what all pages of the host have there."""
-    own = [(path, is_aside(path)) for _, path in slots(wrapper)]
-    fixed = [n >= 3 and s for n, s in zip(distinct, same, strict=True)]
-    inside = [any(s.split(".")[0] in ("article", "main") for s in path) for path, _ in own]
-    open_ = [not aside for _, aside in own]
-    if any(i and o for i, o in zip(inside, open_, strict=True)):
-        return [i and o for i, o in zip(inside, open_, strict=True)]
-    good = [o and not f and 2 * k <= c for o, f, c, k in zip(open_, fixed, chars, linked, strict=True)]
+def in_main(path: tuple[str, ...]) -> bool:
+    """Whether the elements around a slot tell that it is main text."""
+    return any(s.split(".")[0] in ("article", "main") for s in path) and not is_aside(path)
+
+
+def verdicts(wrapper: Node, chars: list[int], linked: list[int], fixed: list[bool]) -> list[bool]:
+    """Which slots of a wrapper are main text of plain pages; the lists tell of each slot what they have there."""
+    own = [path for _, path in slots(wrapper)]
+    good = [not is_aside(path) and not f and 2 * k <= c for path, f, c, k in zip(own, fixed, chars, linked, strict=True)]
     weight: dict[tuple[str, ...], int] = {}
-    for (path, _), g, c in zip(own, good, chars, strict=True):
+    for path, g, c in zip(own, good, chars, strict=True):
         if g:
             for depth in range(1, len(path) + 1):
                 weight[path[:depth]] = weight.get(path[:depth], 0) + c
@@ -327,7 +328,7 @@ def verdicts(wrapper: Node, distinct: list[int], chars: list[int], linked: list[
     # The deepest element that still holds most of the text.
     total = max(weight.values())
     best = max((p for p, w in weight.items() if w >= 0.7 * total and not re.match(r"(p|li|h[1-6]|td|dd)\b", p[-1])), key=len, default=("html",))
-    return [g and path[: len(best)] == best for (path, _), g in zip(own, good, strict=True)]
+    return [g and path[: len(best)] == best for path, g in zip(own, good, strict=True)]
 
 
 def main_blocks(node: Node, keep: list[bool]) -> list[str]:
@@ -402,26 +403,36 @@ def judged(pages: DataFrame) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [placed(loaded(s), loaded(w)) for s, w in zip(batch.column("skeleton").to_pylist(), batch.column("wrapper").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), batch.column("contents"), pa.array(at, pa.list_(pa.int32()))], names=["host", "shape", "contents", "places"])
-
-    at = written(shapes.join(by_host, "host").select("host", "shape", "skeleton", "contents", "wrapper").mapInArrow(place, "host string, shape long, contents binary, places array<int>"), "places")
-    own = at.select("host", "shape", "contents", F.posexplode("places").alias("slot", "place"))
-    stats = rows.filter("slot >= 0").drop("contents").join(own, ["host", "shape", "slot"]).groupBy("host", "place").agg(F.hll_sketch_estimate(F.hll_union_agg("contents")).alias("distinct"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"))
+            at, plain = [], []
+            for small, wrapper in zip(batch.column("skeleton").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+                own = loaded(small)
+                at.append(placed(own, loaded(wrapper)))
+                plain.append(not any(in_main(path) for _, path in slots(own)))
+            columns = [batch.column("host"), batch.column("shape"), batch.column("contents"), pa.array(plain, pa.bool_()), pa.array(at, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "shape", "contents", "plain", "places"])
+
+    at = written(shapes.join(by_host, "host").select("host", "shape", "skeleton", "contents", "wrapper").mapInArrow(place, "host string, shape long, contents binary, plain boolean, places array<int>"), "places")
+    own = at.select("host", "shape", "contents", "plain", F.posexplode("places").alias("slot", "place"))
+    stats = rows.filter("slot >= 0").drop("contents").join(own, ["host", "shape", "slot"]).groupBy("host", "place", "plain").agg(F.hll_union_agg("contents").alias("contents"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+    # What is the same on three pages of the host, or on three of its plain ones, is no main text.
+    every = Window.partitionBy("host", "place")
+    fixed = lambda contents, least, most: (F.hll_sketch_estimate(contents) >= 3) & (least == most)
+    stats = stats.withColumn("fixed", fixed(F.col("contents"), F.col("least"), F.col("most")) | fixed(F.hll_union_agg("contents").over(every), F.min("least").over(every), F.max("most").over(every)))
 
     def judge(group: pa.Table) -> pa.Table:
         wrapper = loaded(group.column("wrapper")[0].as_py())
-        n = len(slots(wrapper))
-        own = {r["place"]: r for r in group.drop_columns(["wrapper"]).to_pylist()}
-        empty = {"distinct": 0, "chars": 0, "linked": 0, "least": 0, "most": 0}
-        per = [own.get(i, empty) for i in range(n)]
-        keep = verdicts(wrapper, [r["distinct"] for r in per], [r["chars"] for r in per], [r["linked"] for r in per], [r["least"] == r["most"] for r in per])
-        return pa.table({"host": pa.array([group.column("host")[0].as_py()]), "verdicts": pa.array([keep], pa.list_(pa.bool_()))})
-
-    # A group is a host's wrapper slots: as many rows as the wrapper has slots.
-    found = stats.join(by_host, "host").groupBy("host").applyInArrow(judge, "host string, verdicts array<boolean>")
+        own = {r["place"]: r for r in group.drop_columns(["wrapper"]).to_pylist() if r["plain"]}
+        empty = {"chars": 0, "linked": 0, "fixed": False}
+        paths = [path for _, path in slots(wrapper)]
+        per = [own.get(i, empty) for i in range(len(paths))]
+        keep = [verdicts(wrapper, [r["chars"] for r in per], [r["linked"] for r in per], [r["fixed"] for r in per]), [in_main(path) for path in paths]]
+        return pa.table({"host": pa.array([group.column("host")[0].as_py()] * 2), "plain": pa.array([True, False]), "verdicts": pa.array(keep, pa.list_(pa.bool_()))})
+
+    # A group is a host's wrapper slots: twice as many rows as the wrapper has slots at most.
+    found = stats.select("host", "place", "plain", "chars", "linked", "fixed").join(by_host, "host").groupBy("host").applyInArrow(judge, "host string, plain boolean, verdicts array<boolean>")
     keep = F.transform("places", lambda p: F.element_at("verdicts", p + 1))
-    return at.join(found, "host").select("host", "shape", F.when(F.size("places") > 0, keep).otherwise(F.array().cast("array<boolean>")).alias("keep"))
+    return at.join(found, ["host", "plain"]).select("host", "shape", F.when(F.size("places") > 0, keep).otherwise(F.array().cast("array<boolean>")).alias("keep"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

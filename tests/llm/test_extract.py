@@ -48,6 +48,17 @@ def test_copies_of_a_page_are_no_evidence_for_boilerplate(spark):
     assert all(got[30 + i] == f"text {i}" for i in range(40))
 
 
+def test_pages_without_article_on_a_host_that_has_some(spark):
+    old = lambda i: page(i, f"<div class='x'>Old site</div><div class='c'><h2>Title {i}</h2><p>old text {i} {'word ' * 20}</p></div>")
+    new = lambda i: page(i, f"<div class='x'>New site {i}</div><article><h2>Head {i}</h2><p>new text {i} {'word ' * 40}</p></article>")
+    rows = [(i, "http://both/", old(i)) for i in range(6)] + [(10 + i, "http://both/", new(i)) for i in range(9)]
+    rows += [(30, None, "<div>alone</div>"), (31, "http://[bad", new(1)), (32, None, new(2))]
+    got = run(spark, rows)
+    assert all(got[i] == f"Title {i}\nold text {i} {'word ' * 19}word" for i in range(6))
+    assert all(got[10 + i] == f"Head {i}\nnew text {i} {'word ' * 39}word" for i in range(9))
+    assert got[30] == "alone" and got[31].startswith("Head 1\n") and got[32].startswith("Head 2\n")
+
+
 def test_rows_that_are_odd(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://[bad", "just text"), (4, "http://a/", "<article>cut &am"), (5, "http://a/", "<nav>open<article><p>in</article>"), (None, "http://a/", "<script>if (a<b)"), (6, "http://a/", "<article>" + "<p>word</p>" * 20_000 + "</article>"), (7, "http://a/", "<div hidden><p>no</p></div><article><!-- <p>no</p> --><header><h1>Yes</h1><p>by me</p></header>t</article>")]
     got = run(spark, rows)
