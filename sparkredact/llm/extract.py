@@ -50,6 +50,7 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 #: Parts of class names and ids around what isn't the main text.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead topbar header cookie cookies consent notice notices alert popup modal overlay comment comments respond reply replies disqus share sharing social related recommended recommendations widget newsletter subscribe subscription signup login search pagination pager toolbar copyright legal disclaimer skip".split())
+_ASIDE_MARK = re.compile(rf"(?<![a-z])(?:{'|'.join(sorted(ASIDE_WORDS))})(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _MARKS = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -75,15 +76,21 @@ class Node:
 
 
 def signature(name: str, attributes: str) -> str | None:
-    """The element with its marks; None for one that isn't shown."""
-    marks = []
+    """The element with its marks; None for one that isn't shown.
+
+    Marks tell elements apart by their first ones, cut; whether any mark has a word
+    of ASIDE_WORDS is tested on all in full, and noted at the end.
+    """
+    marks, aside = [], False
     for m in _MARKS.finditer(attributes):
         key, value = m[1].lower(), unescape((m[2] or "").strip("\"'")).lower()
         if key == "hidden" and value != "false" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return None
         if key in ("class", "id", "role") and value:
             marks += value.split()[:8]
-    return ".".join([name, *(re.sub(r"\d+", "0", x)[:40] for x in marks)])
+            aside = aside or name in BLOCKS and name not in ("article", "main") and _ASIDE_MARK.search(value) is not None
+    # No mark has a space.
+    return ".".join([name, *(re.sub(r"\d+", "0", x)[:40] for x in marks)]) + " aside" * aside
 
 
 def parse(html: str) -> Node:
@@ -299,9 +306,8 @@ def is_aside(path: tuple[str, ...]) -> bool:
     """Whether the elements around a slot tell that it isn't main text."""
     main = max((i for i, s in enumerate(path) if s.split(".")[0] in ("article", "main")), default=-1)
     for i, sig in enumerate(path):
-        name, *marks = sig.split(".")
-        words = {w for mark in marks for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", mark)) if w}
-        if name in ASIDE or words & ASIDE_WORDS and name not in ("article", "main", "html"):
+        name = sig.split(".")[0]
+        if name in ASIDE or sig.endswith(" aside"):
             return True
         # The page's header, but not the headings in an article's own one.
         if name == "header" and not (-1 < main < i and re.match(r"h[1-6]\b", path[-1])):

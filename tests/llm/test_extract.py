@@ -83,6 +83,13 @@ def test_aligned_wrapper_takes_every_skeleton():
         assert all(p >= 0 and whole[p][1] == path for p, (_, path) in zip(at, own, strict=True))
 
 
+def test_marks_far_back_tell_what_is_aside(spark):
+    many, long = " ".join(f"u-{c}" for c in "abcdefghijkl"), "x" * 60
+    body = f"<article><p class='{many}'>in</p><div class='{many} sidebar'>far</div><div id='{long}-comments'>long</div><div class='{many} loads'>on</div><section role='{many} ad-{long}'><p>ad</p></section></article>"
+    assert run(spark, [(1, "http://a/", page(0, body)), (2, "http://b/", page(0, body.replace("article", "div")))]) == {1: "in\non", 2: "in\non"}
+    assert extract.signature("div", f"class='{many}'") != extract.signature("div", f"class='{many} sidebar'")
+
+
 def test_every_slot_is_placed_where_siblings_have_equal_keys(spark):
     bodies = ["<section><p>A</p></section>", "<ul><li>x</li></ul><section><p>B</p></section>", "<section><table><tr><td>t</td></tr></table></section><ul><li>y</li></ul><section><p>C</p></section>"]
     rows = [(i, "http://one/", page(0, f"<article>{body}</article>")) for i, body in enumerate(bodies)]
