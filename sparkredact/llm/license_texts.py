@@ -74,6 +74,30 @@ TEXTS = [
     ("Apache-2.0", APACHE_HEADER),
 ]
 
+#: Digests of the long licences as licenses.digest() makes them, from the copies in Debian's
+#: /usr/share/common-licenses: the whole text, and that up to "END OF TERMS AND CONDITIONS" where more follows.
+DIGESTS = [
+    ("Apache-2.0", "d1f9bb848f8f122de786e3dc23bb7271a07e5e56d4eee7a8001eabda020f650e"),
+    ("Apache-2.0", "a4d0155bd8abd3de99267c2a30fd83b97867d8e7e31a4cea2a5afc74b96de08b"),
+    ("Artistic-1.0-Perl", "7697ce9aa3b6e2e785dbe70412ae101d9ffac81ec66159db83fd2222d3ff27ff"),
+    ("CC0-1.0", "a7c27fcaa50bd13d5ff98c3c1ed5b8a2b7eebb273467bacb6ea8c805718f7850"),
+    ("GFDL-1.2", "a099c5cf0e7b54855b683853a82bde726591c6575a00246a4a34a4a6fde88f35"),
+    ("GFDL-1.3", "e3f2c440475a8addb07ae4652f0cae5750bd39f447687f23cffec88a2d387106"),
+    ("GPL-1.0", "16fda408cf552f838d169a41d1fcc5bb72b0995da7398f70da9fff46aad2ca81"),
+    ("GPL-1.0", "5c113df18465ad5ed6c2b291b5c5106cf7e446ca0fff1d0b3490fb2c8e442955"),
+    ("GPL-2.0", "68c5632568b8a39f1b8d79b2598e03250468b1bb66ef73ff3d9610989f2c33f2"),
+    ("GPL-2.0", "19a18e711141857a49c05961ef4a3813c06671a9a017fbc8d9f0e5f576dda60c"),
+    ("GPL-3.0", "88280a28dc9ec2cf497528c99b8217ecdea27218523e6024cb96296e614b1744"),
+    ("GPL-3.0", "f2a0afb9e793d150cfb994f7faa79fdbcd2c4bcc36a1152273af9e8fc5e8e73e"),
+    ("LGPL-2.0", "1a39e1cb8987f9678239908666bb5be9d4493267e6b260cf2e606d862ff8842c"),
+    ("LGPL-2.0", "8cdfcd2d9ebd4b7a8072db4ef0f493f9c5a4596a2da94e288d90dc3ec107673e"),
+    ("LGPL-2.1", "ebefd35d7a2106b6c8b81ba96178decab4fa0a148980ccff720dae5db2169e7e"),
+    ("LGPL-2.1", "952b5f7a53a092483637d3962f85510a05afa606826ab849d8586cf6b739f5d6"),
+    ("LGPL-3.0", "8b3616b18ee236664c27b58adce29f47a30a70843403da36421bf0ba5f616d05"),
+    ("MPL-1.1", "19f0c50a29739997bc8738a4ce8c32c568e8b3bace1dd04f29bd25fa9410e7a7"),
+    ("MPL-2.0", "b4b4c008c8ce3c75c6031cbd918a989ba85dbf6fc892e2419d09a3850698db37"),
+]
+
 #: Notices of one line.
 NOTICES = [
     ("MIT", "Released under the MIT License."),

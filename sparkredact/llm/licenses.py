@@ -5,7 +5,7 @@ dashes become plain; lines that state a copyright are dropped; list marks at the
 dropped; A-Z become lower case; all but letters, digits and characters beyond
 ASCII separates words; equivalent spellings become one. What is left is hashed
 with SHA-256, and joined with the digests of the known licences, which get the
-same treatment. The known digests are a fixed list of a few rows, so that side is
+same treatment; of long licences just the digests are held. The known digests are a fixed list of a few rows, so that side is
 broadcast; nothing is shuffled, and equal texts cost no more than others.
 
 A line can also be the whole of a notice ("Released under the MIT License."):
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TYPOGRAPHIC, _PLAIN = "“”„‘’–—‐", "\"\"\"''---"
@@ -68,14 +68,17 @@ def scan(docs: DataFrame, licences: DataFrame | None = None, notices: list[tuple
     spark = docs.sparkSession
     lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     own = lines.select("doc_id", "lines", digest(canonical(F.col("lines"))).alias("text_digest"))
-    found = own.join(F.broadcast(known(spark) if licences is None else licences), "text_digest", "left")
+    if licences is None:
+        licences = known(spark).unionByName(spark.createDataFrame(DIGESTS, "license_id string, text_digest string"))
+    found = own.join(F.broadcast(licences), "text_digest", "left")
     of_line = {}
     for name, text in sorted(NOTICES if notices is None else notices, reverse=True):
         of_line[text] = name
     one_line = lambda x: F.regexp_replace(x, " +", "  ")
     table_of = F.create_map(*(c for text, name in of_line.items() for c in (canonical(canonical_lines(F.lit(text))), F.lit(name))))
-    # Only lines that have a word of every notice are looked up; the others cannot be one.
-    maybe = F.filter(F.split("lines", "\n"), lambda x: x.contains("licensed") | x.contains("license"))
+    maybe = F.split("lines", "\n")
+    if all("license" in text.lower() for text in of_line):  # a line without it cannot be one
+        maybe = F.filter(maybe, lambda x: x.contains("license"))
     names = F.array_sort(F.array_distinct(F.array_compact(F.transform(maybe, lambda x: F.try_element_at(table_of, one_line(x))))))
     return found.select("doc_id", "text_digest", "license_id", names.alias("notices"))
 

@@ -1,7 +1,10 @@
 import textwrap
+from pathlib import Path
+
+import pytest
 
 from sparkredact.llm import licenses
-from sparkredact.llm.license_texts import BSD_3, MIT, TEXTS, ZLIB
+from sparkredact.llm.license_texts import BSD_3, DIGESTS, MIT, TEXTS, ZLIB
 
 
 def test_equivalent_copies_match_and_others_do_not(spark):
@@ -26,6 +29,29 @@ def test_equivalent_copies_match_and_others_do_not(spark):
     assert licenses.scan(df).count() == len(rows)
 
 
+def test_long_licences_are_known(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    if not all((folder / f).exists() for f in files):
+        pytest.skip("no licence texts on this machine")
+    rows = [(i, (folder / f).read_text()) for i, f in enumerate(files)]
+    cut = (folder / "GPL-3").read_text().split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n"
+    rows += [(10, cut), (11, " ".join(rows[3][1].split("\n")[4:])), (12, rows[3][1] + "more")]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(files.values())), 10: "GPL-3.0", 11: None, 12: None}
+
+
+def test_digests_differ(spark):
+    digests = [d for _, d in DIGESTS] + [r.text_digest for r in licenses.known(spark).collect()]
+    assert len(set(digests)) == len(digests)
+
+
+def test_notices_without_the_word_license(spark):
+    df = spark.createDataFrame([(1, "Prose.\n Public  domain!\nReleased under the MIT Licence."), (2, "In the public domain.")], "doc_id long, text string")
+    got = {r.doc_id: r.notices for r in licenses.scan(df, notices=[("PD", "Public domain."), ("MIT", "Released under the MIT License.")]).collect()}
+    assert got == {1: ["MIT", "PD"], 2: []}
+
+
 def test_known_texts_differ(spark):
     assert licenses.known(spark).count() == len({t for _, t in TEXTS}) + len(licenses.NOTICES)
 
