@@ -7,8 +7,10 @@
    For every way to leave out ``errors`` symbols of a chunk the remaining ones
    are a key. Two signatures with at most ``errors`` errors in some chunk share a
    key; by the pigeonhole principle that holds for all pairs of distance
-   ``chunks * (errors + 1) - 1`` or less, and for pairs at the similarity
-   threshold it fails with a chance under ``MISSED``.
+   ``chunks * (errors + 1) - 1`` or less, which is the distance of the join: every
+   pair within it has a common key. plan() takes so many chunks that the signatures
+   of a pair exactly at the similarity threshold are further apart with a chance
+   under ``MISSED`` only, that of MinHash itself.
 3. The members of a key with ``SMALL`` members or fewer are paired with each
    other. A member of larger keys is paired with two of their hubs, a key's hub
    being its smallest node, so that pairs grow with the nodes and not with the
@@ -26,8 +28,10 @@
    Each two texts with a common key are thus compared or joined.
 
 Texts, keys and links are never collected on the driver, nor is a group held by
-one task; the joins are on (key) or (node) with hot keys split by adaptive
-execution. The tables between the steps are written to the shared folder.
+one task. Counts of a key or family are summed partially and written before rows
+are joined with them: small ones are broadcast then, and otherwise both sides of
+the join are plain shuffles, whose hot keys adaptive execution splits. The tables
+between the steps are written to the shared folder.
 
 Defined results: a text without words (null too) has an empty set, is linked
 with nothing, and is its own component. A text with fewer words than a shingle
@@ -53,7 +57,7 @@ from pyspark.sql import functions as F
 from .common import slices, table, written
 from .components import components
 
-#: The chance at most that a pair exactly at the threshold shares no key.
+#: The chance at most that the signatures of a pair exactly at the threshold are beyond the distance of the join.
 MISSED = 3e-5
 #: Hash seeds of the minima, drawn once from a fixed generator.
 _SEED = 20_240_501
@@ -79,8 +83,8 @@ class Plan:
 
     @property
     def distance(self) -> int:
-        """Signatures of linked sets are no further apart than this, but for a chance of some 1e-7."""
-        return _most(self.symbols, 1 - self.per_cent / 100)
+        """Of two signatures this far apart some chunk has ``errors`` errors at most, so they share a key."""
+        return self.chunks * (self.errors + 1) - 1
 
     @property
     def bits(self) -> int:
@@ -89,8 +93,8 @@ class Plan:
 
     @property
     def bit_distance(self) -> int:
-        """The same for sketches; a bit differs where the symbols do, half of the time."""
-        return _most(self.bits, (1 - self.per_cent / 100) / 2)
+        """Sketches of linked sets are no further apart, but for a chance of some 1e-7; a bit differs where the symbols do, half of the time."""
+        return min(self.distance, _most(self.bits, (1 - self.per_cent / 100) / 2))
 
 
 def _most(n: int, p: float) -> int:
@@ -98,15 +102,19 @@ def _most(n: int, p: float) -> int:
     return min(n, math.ceil(n * p + 5.3 * math.sqrt(n * p * (1 - p)) + 1))
 
 
-def plan(words: int, per_cent: int, errors: int = 1) -> Plan:
-    """The widest chunks, so the most selective keys, that miss few enough pairs with 10 chunks at most."""
-    same = per_cent / 100
-    for width in range(10, 1, -1):
-        clean = sum(math.comb(width, e) * (1 - same) ** e * same ** (width - e) for e in range(errors + 1))
-        chunks = math.ceil(math.log(MISSED) / math.log(1 - clean)) if clean < 1 else 1
-        if chunks <= 10:
-            return Plan(words, per_cent, width, chunks, errors)
-    return Plan(words, per_cent, 2, max(10, chunks), errors)
+def _beyond(n: int, p: float, k: int) -> float:
+    """The chance that more than k of n draws succeed, if each does with chance p."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))
+
+
+def plan(words: int, per_cent: int, errors: int = 1, symbols: int = 112) -> Plan:
+    """The widest chunks, so the most selective keys, whose guaranteed distance misses few enough pairs with so many symbols."""
+    differ = 1 - per_cent / 100
+    for width in range(10, errors + 1, -1):
+        for chunks in range(1, symbols // width + 1):
+            if _beyond(width * chunks, differ, chunks * (errors + 1) - 1) <= MISSED:
+                return Plan(words, per_cent, width, chunks, errors)
+    return Plan(words, per_cent, errors + 1, symbols // (errors + 1), errors)  # any equal symbol is a common key
 
 
 class _WordHash(dict):
@@ -283,8 +291,10 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def with_hubs(members: DataFrame) -> DataFrame:
     """members (key, node, n, sketch) of keys that have several, with the hub of their key and their number."""
-    own = members.groupBy("key").agg(F.min(F.struct("node", "n", "sketch")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    return members.join(own, "key").select("key", "node", "n", "sketch", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.sketch").alias("hub_sketch"), "members")
+    keys = written(members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1"), "keys")
+    own = written(members.join(keys, "key"), "members")
+    hubs = written(own.filter("node = hub").select("key", F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hubs")
+    return own.join(hubs, "key").select("key", "node", "n", "sketch", "hub", "hub_n", "hub_sketch", "members")
 
 
 def pairs_within(members: DataFrame, how: Plan) -> DataFrame:
@@ -313,7 +323,8 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
     # A key whose members are of one component is done.
     left = large.select("key", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("first"), F.count("*").alias("members")).filter("least <> most")
-    left = written(left.join(mixed_keys.select("key", "first", "members"), "key"), "left")
+    mixed_keys = written(mixed_keys.select("key", "first", "members"), "mixed")
+    left = written(left.join(mixed_keys, "key"), "left")
     if left.isEmpty():
         return labels
     found = written(links_in_groups(docs, nodes, left, how), "links")
@@ -327,10 +338,11 @@ def links_in_groups(docs: DataFrame, nodes: DataFrame, left: DataFrame, how: Pla
     members = own.groupBy("family", "node").agg(F.max("n").alias("n"), F.max("root").alias("root"))
     by_key = own.groupBy("family").agg(F.sum("members").alias("pairs"))  # each row of a key counts the key's members
     by_family = members.groupBy("family").agg((F.count("*") * F.count("*")).alias("all_pairs"))
-    whole = by_family.join(by_key, "family").select("family", (F.col("all_pairs") <= F.col("pairs")).alias("whole"))
+    whole = written(by_family.join(by_key, "family").select("family", (F.col("all_pairs") <= F.col("pairs")).alias("whole")), "whole")
+    members = written(members, "members")
     groups = members.join(whole.filter("whole"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "n", "root")
     groups = written(groups.union(own.join(whole.filter("NOT whole"), "family").select(F.lit(1), "key", "node", "n", "root")), "groups")
-    sizes = groups.groupBy("kind", "grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = written(groups.groupBy("kind", "grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = groups.join(sizes, ["kind", "grp"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("kind", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
@@ -400,7 +412,7 @@ def link(docs: DataFrame, how: Plan) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     labels, rows, nodes = _labelled(docs, how)
     rooted = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
     ids = rooted.join(first, "root").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -67,19 +67,32 @@ def test_against_all_pairs(spark, monkeypatch, words, per_cent, small, block):
     assert sorted(map(tuple, rows), key=str) == brute(docs, words, per_cent)
 
 
-def test_keys_keep_the_pigeonhole_promise():
-    how = neardup.Plan(3, 85, 8, 10)
+@pytest.mark.parametrize("how", [neardup.Plan(3, 85, 8, 10), neardup.plan(3, 85), neardup.plan(5, 80), neardup.plan(5, 80, errors=2), neardup.plan(3, 30)])
+def test_keys_keep_the_pigeonhole_promise(how):
     signer = neardup.Signer(how)
     rng = random.Random(2)
     base = neardup.np.array([rng.randrange(1 << 16) for _ in range(how.symbols)], neardup.np.uint16)
     for _ in range(200):
         other = base.copy()
-        for i in rng.sample(range(how.symbols), how.chunks * (how.errors + 1) - 1):
+        for i in rng.sample(range(how.symbols), how.distance):
             other[i] ^= 1
         keys = signer.keys(neardup.np.stack([base, other]))
         assert set(keys[0].tolist()) & set(keys[1].tolist())
 
 
+def test_pairs_at_the_threshold_are_within_the_guaranteed_distance():
+    rng = neardup.np.random.default_rng(5)
+    for how in (neardup.plan(3, 85), neardup.plan(5, 80)):
+        signer, near = neardup.Signer(how), 0
+        for _ in range(400):
+            words = rng.integers(0, 1 << 63, 800, dtype=neardup.np.uint64)
+            both = -(-800 * how.per_cent // (100 + how.per_cent))  # what two sets of 400 share at the threshold
+            a, b = words[:400], words[400 - both : 800 - both]
+            distance = int((signer.signature(a) != signer.signature(b)).sum())
+            near += distance <= how.distance
+        assert near == 400
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.link(empty, neardup.plan(3, 85)).count() == 0
