@@ -63,7 +63,7 @@ MISSED = 3e-5
 _SEED = 20_240_501
 #: Members of a key that are paired with each other at once; shingles of a block of texts that a task compares with another.
 SMALL, BLOCK = 8, 1_500_000
-_HASHED = 1_000_000
+_HASHED = 200_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
