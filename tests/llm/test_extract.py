@@ -13,6 +13,16 @@ def run(spark, rows):
     return {r.page_id: r.text for r in extract.extract(df).collect()}
 
 
+def paths(node):
+    """The names around each slot of an expression."""
+    found, places = extract.slots(node)
+
+    def path(at):
+        return (*(path(places[at].above) if places[at].above >= 0 else ()), places[at].sig)
+
+    return [path(at) for _, at in found]
+
+
 def test_articles_with_optional_and_repeated_parts(spark):
     rows, want = [], {}
     for i in range(40):
@@ -78,9 +88,8 @@ def test_aligned_wrapper_takes_every_skeleton():
         wrapper = extract.Node("html", extract.aligned(wrapper.children, extract.loaded(extract.dumped(s)).children))
     for s in skeletons:
         at = extract.placed(s, wrapper)
-        own, whole = extract.slots(s), extract.slots(wrapper)
-        assert len(at) == len(own)
-        assert all(p >= 0 and whole[p][1] == path for p, (_, path) in zip(at, own, strict=True))
+        whole = paths(wrapper)
+        assert [whole[p] for p in at] == paths(s)
 
 
 def test_marks_far_back_tell_what_is_aside(spark):
@@ -108,10 +117,10 @@ def test_nested_siblings_with_equal_keys_are_all_placed():
         wrapper = skeletons[0]
         for s in skeletons[1:]:
             wrapper = extract.Node("html", extract.aligned(wrapper.children, extract.loaded(extract.dumped(s)).children))
-        whole = extract.slots(wrapper)
+        whole = paths(wrapper)
         for s in skeletons:
-            at, own = extract.placed(s, wrapper), extract.slots(s)
-            assert at == sorted(set(at)) and [whole[p][1] for p in at] == [path for _, path in own]
+            at = extract.placed(s, wrapper)
+            assert at == sorted(set(at)) and [whole[p] for p in at] == paths(s)
 
 
 def test_verdicts_by_join_and_by_broadcast_agree(spark, monkeypatch):
@@ -122,5 +131,55 @@ def test_verdicts_by_join_and_by_broadcast_agree(spark, monkeypatch):
     assert run(spark, rows) == one == {i: f"t {i}" for i in range(9)}
 
 
+def boilerplate_pages(n, host="http://evidence/"):
+    """Pages whose article ends with a line that is the same on all, and with a list of links; and the texts without them."""
+    rows, want = [], {}
+    for i in range(n):
+        own = [f"Par {i} {k}" for k in range(1 + i % 3)]
+        tail = "<p class='side-note'>Aside of %d</p><section><p>Thank you for reading.</p></section><ul><li><a href='/a'>See %d</a><li><a href='/b'>And %d</a></ul>" % (i, i, i + 1)
+        notice = f"<div class='notice'><p>{'Mind the rules' if host.endswith('same/') else f'Edited {i}'}</p></div>"
+        rows.append((i, host, page(i, f"<article><h1>All alike</h1>{notice}{''.join(f'<p>{p}</p>' for p in own)}{tail}</article>")))
+        want[i] = "\n".join(["All alike", *([] if host.endswith("same/") else [f"Edited {i}"]), *own, f"Aside of {i}"])
+    return rows, want
+
+
+def test_the_wrapper_decides_within_articles(spark, monkeypatch):
+    for host in ("http://evidence/", "http://same/"):
+        rows, want = boilerplate_pages(12, host)
+        assert run(spark, rows) == want
+    # Without alignment across pages, nothing tells the article's boilerplate.
+    rows, want = boilerplate_pages(12)
+    alone = run(spark, [(i, f"http://alone{i}/", html) for i, _, html in rows])
+    assert all("Thank you for reading." in alone[i] and f"See {i}" in alone[i] and f"Edited {i}" not in alone[i] for i in want)
+
+
+def test_against_planted_texts(spark):
+    """Random templates of hosts, whose blocks of main text are known."""
+    rng, rows, want = random.Random(8), [], {}
+    for h in range(6):
+        frame = rng.choice(["<article>%s</article>", "<main><div class='x y z'>%s</div></main>", "<div id='page'><section><article class='post'>%s</article></section></div>"])
+        around = [f"<div class='{c}'><p>%s</p></div>" for c in rng.sample(["sidebar", "ad", "cookie-bar", "promo box", "widget", "related"], 3)]
+        for i in range(rng.randint(1, 14)):
+            n = len(rows)
+            kinds = [rng.choice(["<p>%s</p>", "<h2>%s</h2>", "<ul><li>%s</li></ul>", "<blockquote><p>%s</p></blockquote>", "<pre>%s</pre>"]) for _ in range(rng.randint(1, 9))]
+            texts = [f"text {n} {k} {rng.random()}" for k in range(len(kinds))]
+            body = "".join(kind % t for kind, t in zip(kinds, texts, strict=True))
+            inner = rng.choice(["", "<aside>by the way</aside>", "<form><p>mail</p></form>", f"<section class='{'u ' * 20}comments'><p>says {n}</p></section>"])
+            rows.append((n, f"https://t{h}.example/{i}", page(n, frame % (body + inner), "".join(a % f"around {n}" for a in around))))
+            want[n] = "\n".join(texts)
+    assert run(spark, rows) == want
+
+
+def test_deep_pages_long_series_and_formulas(spark):
+    deep = "<div>" * 10_000 + "down here" + "</div>" * 10_000
+    series = "".join(f"<h2>h{i}</h2><p>p{i}</p><ul><li>u{i}</ul><pre>r{i}</pre><table><td>t{i}</table>" for i in range(40))
+    formula = "<p>before <math><mi>x</mi></math> <svg><text>y</text></svg> <object>z</object> <span style='display:none'>w</span></p>"
+    got = run(spark, [(1, "http://deep/", f"<article>{deep}</article>"), (2, "http://deep/", deep), (3, "http://series/", f"<article>{series}</article>"), (4, "http://math/", f"<article>{formula}</article>")])
+    assert got[1] == got[2] == "down here" and got[4] == "before x y z w"
+    assert got[3] == "\n".join(f"{k}{i}" for i in range(40) for k in "hpurt")
+    group = extract.skeleton(f"<article>{series}</article>").children[0].children
+    assert len(group) == 1 and group[0].sig == "+" and len(group[0].children) == 5
+
+
 def test_empty_table(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
