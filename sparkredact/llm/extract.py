@@ -254,15 +254,39 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     return flat(_aligned(a, b))
 
 
+def _copy(leaf: Node) -> Node:
+    return Node(leaf.sig, [], leaf.many, leaf.optional, list(leaf.texts))
+
+
+def _absorb(a: Node, b: Node):
+    """Merges b into a, where neither is part of another tree."""
+    a.many, a.optional = a.many or b.many, a.optional or b.optional
+    a.texts += b.texts
+    if len(a.children) != len(b.children) or any(x.key != y.key for x, y in zip(a.children, b.children, strict=True)):
+        a.children = yield _aligned(a.children, b.children)
+        return
+    for x, y in zip(a.children, b.children, strict=True):
+        if x.children or y.children:
+            yield _absorb(x, y)
+        else:
+            x.many, x.optional = x.many or y.many, x.optional or y.optional
+            x.texts += y.texts
+
+
 def _folded(children: list[Node]):
     out: list[Node] = []
     for child in children:
-        below = (yield _folded(child.children)) if child.children else []
-        own = Node(child.sig, below, child.many, child.optional, child.texts)
-        if out and out[-1].key == own.key:
-            own = yield _merged(out.pop(), own)
-            own.many = True
-        out.append(own)
+        below = child.children
+        if len(below) == 1 and not below[0].children:  # a paragraph, as a rule
+            below = [_copy(below[0])]
+        elif below:
+            below = yield _folded(below)
+        own = Node(child.sig, below, child.many, child.optional, list(child.texts))
+        if out and out[-1].sig == own.sig and out[-1].key == own.key:
+            yield _absorb(out[-1], own)
+            out[-1].many = True
+        else:
+            out.append(own)
     length = 2
     while 2 * length <= len(out):
         keys = [x.key for x in out]
@@ -434,14 +458,16 @@ def plain_verdicts(wrapper: Node, evidence: list[Evidence]) -> list[bool]:
     return [g and inside[at] for (_, at), g in zip(own, good, strict=True)]
 
 
-def main_blocks(node: Node, keep: list[bool]) -> list[str]:
-    """The texts of a page in page order whose slot is kept; node is the parsed page."""
-    owner: dict[int, bool] = {}
-    # folded() concatenates the (text, links) tuples of the parsed nodes, so they are the same objects.
-    for (slot, _), good in zip(slots(Node("html", folded(node.children)))[0], keep, strict=True):
-        for t in slot.texts:
-            owner[id(t)] = good
-    return [t[0] for n, _ in slots(node)[0] for t in n.texts if owner.get(id(t))]
+def main_blocks(node: Node, folds: Node, keep: list[bool]) -> list[str]:
+    """The texts of a page in page order whose slot is kept; node is the parsed page, folds its skeleton."""
+    # folded() hands on the (text, links) tuples of the parsed nodes, so they are the same objects.
+    kept = {id(t) for (slot, _), good in zip(slots(folds)[0], keep, strict=True) if good for t in slot.texts}
+    out, left = [], [node]
+    while left:
+        x = left.pop()
+        out += [t[0] for t in x.texts if id(t) in kept]
+        left += reversed(x.children)
+    return out
 
 
 def _hash(text: str) -> int:
@@ -558,12 +584,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = []
                 keeps = part.column("keep").to_pylist() if rules is None else [None] * part.num_rows
                 for url, html, keep in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), keeps, strict=True):
+                    tree = parse(html or "")
+                    folds = Node("html", folded(tree.children))
                     if html and rules is not None:
-                        tree = parse(html)
-                        keep = rules.get((host_of(url) or "", _hash(dumped(Node("html", folded(tree.children))))))
-                        texts.append("\n".join(main_blocks(tree, keep)) if keep else "")
-                    else:
-                        texts.append("\n".join(main_blocks(parse(html), keep)) if html and keep else "")
+                        keep = rules.get((host_of(url) or "", _hash(dumped(folds))))
+                    texts.append("\n".join(main_blocks(tree, folds, keep)) if html and keep else "")
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     out = "page_id long, url string, text string"
