@@ -11,15 +11,15 @@
    pair within it has a common key. plan() takes so many chunks that the signatures
    of a pair exactly at the similarity threshold are further apart with a chance
    under ``MISSED`` only, that of MinHash itself.
-3. The members of a key with ``SMALL`` members or fewer are paired with each
-   other. A member of larger keys is paired with two of their hubs, a key's hub
-   being its smallest node, so that pairs grow with the nodes and not with the
-   square of a group. A key's rows carry a sketch,
-   the lowest bit of each symbol: pairs whose sizes or sketches are too far apart
-   for the threshold are dropped in the JVM, those whose signatures are after
-   that; the rest are confirmed on the full sets of both texts.
-4. Larger keys whose members are of one component by then need no further look.
-   The others are gathered into families (nodes that share such keys), and a
+3. Each node is paired with two of its keys' hubs, a key's hub being its smallest
+   node, so that pairs grow with the nodes and not with the square of a group. A
+   key's rows carry a sketch, the lowest bit of each symbol: pairs whose sizes or
+   sketches are too far apart for the threshold are dropped in the JVM, those whose
+   signatures are after that; the rest are confirmed on the full sets of both texts.
+4. Keys whose members are of one component by then need no further look. Of the
+   others those with ``SMALL`` members or fewer have their members of different
+   components paired, filtered and confirmed in the same way.
+5. The larger ones are gathered into families (nodes that share such keys), and a
    family's members of different components are compared on their full sets in
    blocks: a task holds two blocks of at most some ``BLOCK`` shingles, builds an
    inverted index of one, counts the shared shingles of each text of the other,
@@ -62,7 +62,7 @@ MISSED = 3e-5
 #: Hash seeds of the minima, drawn once from a fixed generator.
 _SEED = 20_240_501
 #: Members of a key that are paired with each other at once; shingles of a block of texts that a task compares with another.
-SMALL, BLOCK = 8, 1_500_000
+SMALL, BLOCK = 8, 500_000
 _HASHED = 200_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -298,10 +298,10 @@ def with_hubs(members: DataFrame) -> DataFrame:
 
 
 def pairs_within(members: DataFrame, how: Plan) -> DataFrame:
-    """All pairs (a, b) of members of a key that may be linked."""
-    own = members.select("key", F.col("node").alias("a"), "n", "sketch")
-    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    return own.join(other, "key").filter("a < b").filter(may_link(how, "n", "m", "sketch", "other")).select("a", "b")
+    """All pairs (a, b) of members of a key that are of different components and may be linked."""
+    own = members.select("key", F.col("node").alias("a"), "n", "sketch", F.col("root").alias("top"))
+    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"), "root")
+    return own.join(other, "key").filter("a < b AND top <> root").filter(may_link(how, "n", "m", "sketch", "other")).select("a", "b").distinct()
 
 
 def pairs_with_hubs(members: DataFrame, how: Plan) -> DataFrame:
@@ -311,23 +311,27 @@ def pairs_with_hubs(members: DataFrame, how: Plan) -> DataFrame:
     return own.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("a"), F.col("node").alias("b"))
 
 
+def links_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, how: Plan) -> DataFrame:
+    """The pairs that are links, by signature and then by full sets."""
+    near = written(near_in_signature(pairs, nodes, how), "near")
+    texts = written(texts_of(docs, nodes, ends_of(near)), "texts")
+    return written(confirmed(near, texts, how), "links")
+
+
 def link_nodes(docs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
     """(node, root) for the nodes that confirmed links join to others."""
     shared = written(with_hubs(keyed(nodes, how)), "shared")
-    small, large = shared.filter(F.col("members") <= SMALL), shared.filter(F.col("members") > SMALL)
-    pairs = pairs_within(small, how).union(pairs_with_hubs(large, how)).distinct()
-    near = written(near_in_signature(pairs, nodes, how), "near")
-    texts = written(texts_of(docs, nodes, ends_of(near)), "texts")
-    links = written(confirmed(near, texts, how), "links")
+    links = links_of(docs, nodes, pairs_with_hubs(shared, how), how)
     labels = components(links)
     # A key whose members are of one component is done.
-    left = large.select("key", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = shared.select("key", "node", "n", "sketch").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("first"), F.count("*").alias("members")).filter("least <> most")
     mixed_keys = written(mixed_keys.select("key", "first", "members"), "mixed")
     left = written(left.join(mixed_keys, "key"), "left")
-    if left.isEmpty():
-        return labels
-    found = written(links_in_groups(docs, nodes, left, how), "links")
+    small, large = left.filter(F.col("members") <= SMALL), left.filter(F.col("members") > SMALL)
+    found = links_of(docs, nodes, pairs_within(small, how), how)
+    if not large.isEmpty():
+        found = found.union(written(links_in_groups(docs, nodes, large, how), "links"))
     return labels if found.isEmpty() else components(links.union(found))
 
 
