@@ -4,10 +4,12 @@ Base findings are the leftmost non-overlapping matches of three patterns. The
 field tags white-space tokens as begin, inside or outside of a secret. Its
 features are the token's shape, length, alphabet and key words, the same of the
 two tokens before and the one after, and of the file (length, line length,
-equals signs). It learns from ``SAMPLE`` snippets around base findings, as many
-snippets from anywhere, and rewritten copies of the former with other values
-and other key words, so that it knows more than the patterns do; what it learns
-is a bounded sample, what it tags is every token of every text.
+equals signs). It learns from ``SAMPLE`` snippets around base findings and as many
+from anywhere, and from copies of both into which made-up secrets are written: with
+other key words, in other forms, of other alphabets and without any key word, beside
+what only looks like one (addresses, numbers, dates, paths, key words in prose). So it
+knows more than the patterns do; what it learns is a bounded sample, what it tags is
+every token of every text.
 
 A token's scores depend on single words only, and distinct feature sets are few,
 so scores are looked up and added over arrays. Where the outside score leads by
@@ -38,9 +40,9 @@ from pyspark.sql import functions as F
 from .common import slices, smallest, table
 
 #: Snippets around findings and snippets from anywhere that the field learns from, and their code points.
-SAMPLE, SNIPPET = 400, 500
-#: Copies of a snippet with another value and key word.
-REWRITTEN = 3
+SAMPLE, SNIPPET = 400, 320
+#: Copies of a snippet with another value and key word, and copies with made-up secrets.
+REWRITTEN, PLANTED = 1, 2
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -50,7 +52,7 @@ _MAYBE = re.compile(r"(?ai:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f
 MAYBE_JAVA = r"(?i:passwd|password|secret|token|api_?key)[\x22']?\x20*[:=]\x20*[\x22']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 _OUTSIDE, _BEGIN, _INSIDE = 0, 1, 2
 #: Words that tell of a secret nearby.
-KEY_WORDS = frozenset("password passwd pwd passphrase secret token key apikey api auth authorization bearer credential credentials access private client aws login session signature salt".split())
+KEY_WORDS = frozenset("password passwd pwd passphrase passcode secret token key apikey api auth authorization bearer credential credentials creds access private client aws login session signature salt".split())
 _EDGE = "\"'`.,;:!?()[]{}<>|*$%&#="
 
 
@@ -84,7 +86,7 @@ def word_features(word: str) -> tuple[str, ...]:
     lower = sum(c.islower() for c in core)
     upper = sum(c.isupper() for c in core)
     digits = sum(c.isdigit() for c in core)
-    kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else c if c.isascii() else "x" for c in core[:200]]
+    kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else c if c.isascii() else "x" for c in core]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1)
     out = [
         "l" + str(_bucket(len(core))),
@@ -98,6 +100,12 @@ def word_features(word: str) -> tuple[str, ...]:
         out.append("hex")
     if "@" in core:
         out.append("at")
+    if "://" in core:
+        out.append("url")
+    if re.match(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", core):
+        out.append("date")
+    if word.startswith(("/", "./", "~/")):
+        out.append("path")
     if core.count(".") + core.count("/") + core.count("-") + core.count(":") > 1:
         out.append("parts")
     parts = re.split(r"[^A-Za-z]+", core.lower())
@@ -259,7 +267,54 @@ def trained(examples: list[tuple[list[str], list[int], tuple[str, ...]]], steps:
     return Field({f: w[i] for f, i in index.items()}, t)
 
 
-_VALUES = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_VALUES = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _LETTERS + _LETTERS.upper() + "0123456789", _LETTERS + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789+/_-", _LETTERS + _LETTERS.upper() + "0123456789!@#$%^&*~?")
+#: Forms in which a secret (v) is written after key words (k), and forms that need no key word.
+_FORMS = ("{k}: {q}{v}{q}", "{k} = {q}{v}{q}", "{k}={q}{v}{q}", "{k} {q}{v}{q}", "{q}{k}{q}: {q}{v}{q},", "{k} is {v}", "{k} -> {v}", "{k} => {q}{v}{q}", "{k} := {v};", "--{k} {v}", "--{k}={v}", "export {k}={q}{v}{q}", "Authorization: Bearer {v}", "Authorization: Basic {v}", "{k} | {v} |", "<{k}> {v} </{k}>", "({k} {v})", "{k}, {q}{v}{q}")
+_ALONE = ("{v}", '"{v}"', "`{v}`", "'{v}',", "({v})")
+_PREFIXES = ("", "", "", "", "sk-", "ghp_", "glpat-", "xoxb-", "pk_live_", "AIza", "SG.")
+
+
+def _value(rng: random.Random, least: int = 12) -> str:
+    letters = rng.choice(_VALUES)
+    drawn = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    if rng.random() < 0.08:
+        return ".".join(drawn(n) for n in (rng.randint(8, 20), rng.randint(16, 40), rng.randint(16, 40)))
+    return rng.choice(_PREFIXES) + drawn(rng.choice([n for n in (10, 12, 16, 20, 24, 32, 40, 48, 64) if n >= least]))
+
+
+def _key_words(rng: random.Random) -> str:
+    words = rng.sample(sorted(KEY_WORDS), rng.choice([1, 1, 1, 2, 2, 3]))
+    if rng.random() < 0.15:
+        words.insert(0, rng.choice(["my", "the", "db", "user", "app", "prod", "old"]))
+    case = rng.choice([str.lower, str.lower, str.upper, str.title])
+    return case(rng.choice(["_", "-", " ", " ", ""]).join(words))
+
+
+def _harmless(rng: random.Random) -> str:
+    """What looks a little like a secret, and key words without one."""
+    word = lambda n: "".join(rng.choice(_LETTERS) for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = (
+        lambda: f"{word(6)}.{word(7)}{digits(2)}@{word(8)}.example.com",
+        lambda: f"https://{word(7)}.example.org/{word(5)}/{digits(6)}?{word(2)}={word(6)}",
+        lambda: f"{word(3).upper()}-20{digits(2)}-{digits(6)}",
+        lambda: digits(rng.choice([7, 10, 13, 16])),
+        lambda: f"+{digits(2)} {digits(3)} {digits(7)}",
+        lambda: f"20{digits(2)}-0{digits(1)}-1{digits(1)}T{digits(2)}:{digits(2)}:{digits(2)}Z",
+        lambda: f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}",
+        lambda: f"/usr/{word(5)}/{word(9)}-{digits(1)}.{digits(2)}/{word(6)}.txt",
+        lambda: f"{digits(1)}.{digits(2)}.{digits(1)}-{word(4)}",
+        lambda: f"{word(6)}{word(7).title()}{word(5).title()}",
+        lambda: f"{word(8)}_{word(7)}_{word(6)}",
+        lambda: word(rng.randint(16, 30)),
+        lambda: f"{word(9)}-{word(8)}-{word(7)}",
+        lambda: f"{rng.choice(['id', 'ref', 'no', 'name', 'size', 'order'])}{rng.choice([': ', '=', ' = '])}{rng.choice([digits(6), word(8), word(4) + digits(3)])}",
+        lambda: f"{_key_words(rng)} {rng.choice(['is required', 'was changed', 'for each user', 'and more', 'of the house'])}",
+        lambda: f"{rng.choice(sorted(KEY_WORDS))} {word(rng.randint(3, 9))} {word(4)}",
+        lambda: f"{rng.choice(sorted(KEY_WORDS))}: {word(rng.randint(2, 7))} {word(5)}",
+    )
+    return rng.choice(made)()
 
 
 def rewritten(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]] | None:
@@ -268,14 +323,35 @@ def rewritten(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]
     if not found:
         return None
     _, start, _, value, end = min(found, key=lambda f: f[1])
-    letters = rng.choice(_VALUES)
-    new = "".join(rng.choice(letters) for _ in range(rng.choice([16, 20, 24, 32, 40, 48, 64])))
-    word = rng.choice(sorted(KEY_WORDS))
-    quote = rng.choice(["", '"', "'"])
-    head = text[:start] + rng.choice(["", quote]) + word + rng.choice([": ", " = ", "=", " ", quote + ": "]) + quote
+    new, quote = _value(rng, 16), rng.choice(["", '"', "'"])
+    head = text[:start] + rng.choice(["", quote]) + rng.choice(sorted(KEY_WORDS)) + rng.choice([": ", " = ", "=", " ", quote + ": "]) + quote
     return head + new + quote + text[end:].lstrip("\"'"), [(len(head), len(head) + len(new))]
 
 
+def planted(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """text with two made-up secrets and two harmless look-alikes between its words, and where secrets are, its own ones too."""
+    gaps = [m.end() for m in re.finditer(r"\s+", text)]
+    places = sorted(rng.sample(gaps, min(4, len(gaps))))
+    kinds = rng.sample([True, True, False, False], len(places))
+    own = [(a, b) for *_, a, b in base_findings(text)]
+    out, values, last = "", [], 0
+    for at, secret in zip([*places, len(text)], [*kinds, None], strict=True):
+        values += [(len(out) + a - last, len(out) + b - last) for a, b in own if last <= a < at]
+        out += text[last:at]
+        last = at
+        if secret:
+            alone = rng.random() < 0.15
+            value = _value(rng, 24 if alone else 10)
+            form = rng.choice(_ALONE if alone else _FORMS)
+            put = form.format(k=_key_words(rng), q=rng.choice(["", '"', "'"]), v="\0")
+            start = len(out) + put.index("\0")
+            values.append((start, start + len(value)))
+            out += put.replace("\0", value) + " "
+        elif secret is False:
+            out += _harmless(rng) + " "
+    return out, values
+
+
 def labelled(text: str, values: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
     words, tags, last = [], [], None
     for m in re.finditer(r"\S+", text):
@@ -310,10 +386,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     drawn = snippets(docs, sample)
     if not any(found and base_findings(s) for s, *_, found in drawn):
         return None
+    copies = max(PLANTED, -(-2 * sample // len(drawn)))  # the more, the fewer snippets there are
     for snippet, chars, lines, equals, _ in drawn:
         file = file_features(chars, lines, equals)
         cases = [(snippet, [(a, b) for *_, a, b in base_findings(snippet)])]
         cases += [again for _ in range(REWRITTEN) if (again := rewritten(snippet, rng))]
+        cases += [planted(snippet, rng) for _ in range(copies)]
         for text, values in cases:
             words, tags = labelled(text, values)
             words, tags = words[1:-1], tags[1:-1]  # a snippet may cut its first and last token
