@@ -82,12 +82,14 @@ class PairTable:
 class MergeReplay:
     """Encodes many byte strings at once; ranks maps token bytes to rank, which is the id.
 
-    Words of up to ``SHORT`` bytes are replayed abreast: the ranks are taken in
-    order in ``WINDOWS``; the inverted index of a window is the positions whose
-    pair's rank it holds (or a lower one that a merge has made). Of these each word
-    applies its lowest, leftmost first, until none is left. Words do not touch
-    each other, so each sees its merges in rank order. Longer words are replayed
-    rank by rank with one list of positions for each.
+    Words of up to ``SHORT`` bytes are replayed abreast. Their inverted index lists
+    the positions of pairs by the window of ranks (``WINDOWS``) that the pair's rank
+    is in; the windows are taken in order. Of the positions listed for a window each word
+    applies its lowest, leftmost first; a merge touches the two neighbours, whose
+    new pairs go to the list of their own rank's window (to the present one if
+    that has passed), until the list is empty. Words do not touch each other, so each
+    sees its merges in rank order. In longer words, where that takes as many turns as the
+    longest has merges, the index has a list for each single rank, taken rank by rank.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -136,15 +138,25 @@ class MergeReplay:
         waiting = np.full(n + 1, NONE, np.int64)  # the rank of the pair that begins at a position
         pairs = np.flatnonzero(~last)
         ranks = self.byte_pairs[raw[pairs] * 256 + raw[pairs + 1]]
-        waiting[pairs] = np.where(ranks >= 0, ranks, NONE)
-        for end in (*(w for w in WINDOWS if w < self.top), self.top):
-            while len(open_ := np.flatnonzero(waiting < end)):
+        pairs, ranks = pairs[ranks >= 0], ranks[ranks >= 0]
+        waiting[pairs] = ranks
+        # The inverted index: for each window of ranks the positions where such a pair stands.
+        limits = np.array([*(w for w in WINDOWS if w < self.top), self.top])
+        window = np.searchsorted(limits, ranks, "right")
+        index = [[pairs[window == k]] for k in range(len(limits))]
+        for k, limit in enumerate(limits):
+            listed = np.concatenate(index[k])
+            while True:
+                listed = np.unique(listed)
+                listed = listed[waiting[listed] < limit]  # what a merge has changed meanwhile is listed anew
+                if not len(listed):
+                    break
                 # The lowest rank of each word, and of equal ones the leftmost position.
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(word[open_]) > 0]))
-                rank = waiting[open_]
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(word[listed]) > 0]))
+                rank = waiting[listed]
                 least = np.minimum.reduceat(rank, starts)
-                lowest = np.flatnonzero(rank == np.repeat(least, np.diff(np.concatenate([starts, [len(open_)]]))))
-                i = open_[lowest[np.concatenate([[True], np.diff(word[open_[lowest]]) > 0])]]
+                lowest = np.flatnonzero(rank == np.repeat(least, np.diff(np.concatenate([starts, [len(listed)]]))))
+                i = listed[lowest[np.concatenate([[True], np.diff(word[listed[lowest]]) > 0])]]
                 j = after[i]
                 symbols[i] = waiting[i]
                 symbols[j] = -1
@@ -157,6 +169,14 @@ class MergeReplay:
                 prev = before[i]
                 led = prev >= 0
                 waiting[prev[led]] = self.table.get(symbols[prev[led]] << 32 | symbols[i[led]])
+                touched = np.concatenate([i[follows], prev[led]])
+                rank = waiting[touched]
+                listed = np.concatenate([listed, touched[rank < limit]])
+                later = (rank >= limit) & (rank < NONE)
+                if later.any():
+                    places, window = touched[later], np.searchsorted(limits, rank[later], "right")
+                    for w in np.unique(window):
+                        index[w].append(places[window == w])
         kept = np.concatenate([[0], np.cumsum(symbols >= 0)])
         return symbols[symbols >= 0], kept[ends] - kept[ends - lengths]
 
