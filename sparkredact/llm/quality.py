@@ -16,8 +16,10 @@ Labels, lang, source and doc_id are no inputs of a score.
 Defined results: a null or empty text has one term of its own and is scored like
 others; a text without similar neighbours, or any text when nothing is
 labelled, scores the mean label (0.5 without labels). Where labels repeat a
-doc_id, the smallest quality counts; null qualities don't. Equal texts score
-equally. Repeated rows give repeated rows; other columns are ignored by score()
+doc_id, the smallest quality counts; null qualities don't. Of voters that are equally
+near those count that come first in the sample's order. Equal texts score equally,
+whatever stands beside them in a block: latent vectors are rounded to whole numbers
+(``STEPS`` to a unit), whose products are exact in any order. Repeated rows give repeated rows; other columns are ignored by score()
 and kept by keep_good(); an empty table gives an empty table.
 """
 
@@ -36,6 +38,8 @@ from .common import id_bucket, slices, smallest, table
 
 #: Labelled vectors at most, latent dimensions, voters, the power of their similarity, and the least score of a good text.
 LABELLED, DIMENSIONS, NEIGHBOURS, POWER, GOOD = 4000, 48, 25, 4, 0.3
+#: Whole steps of a latent vector's length: their products stay below 2 ** 24, so that single precision holds them exactly.
+STEPS = 4000
 #: Hashed terms: words, word shapes, text statistics.
 WORDS, SHAPES, BANDS = 1024, 512, 64
 TERMS = WORDS + SHAPES + BANDS
@@ -59,7 +63,7 @@ class _WordTerms(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > _REMEMBERED:
             self.clear()
-        shape = _RUNS.sub(r"\1", word.translate(_KINDS))[:8]
+        shape = _RUNS.sub(r"\1", word.translate(_KINDS))
         core = word.strip(".,;:'\"!?()").lower()
         flags = ("A" in shape and "a" not in shape and len(word) > 1) + 2 * any(c not in "Aa9.,;:'\"-!?()" for c in shape)
         made = self[word] = (flags * SHAPES + zlib.crc32(shape.encode("utf-8", "replace")) % SHAPES) * WORDS + zlib.crc32(core.encode("utf-8", "replace")) % WORDS
@@ -100,7 +104,7 @@ def _leading(rows: np.ndarray, dimensions: int, turns: int = 12) -> np.ndarray:
     own = np.random.Generator(np.random.PCG64(3)).standard_normal((gram.shape[0], dimensions + 8))
     for _ in range(turns):
         own, _ = np.linalg.qr(gram @ own)
-    return np.ascontiguousarray(own[:, :dimensions].astype(np.float32))
+    return np.ascontiguousarray(own[:, :dimensions])
 
 
 class Voters:
@@ -111,17 +115,21 @@ class Voters:
         self.mean = float(np.mean(labels)) if labels else 0.5
         if not labels:
             return
+        self.labels = np.array(labels, np.float64)
         rows = np.log1p(rows)
         self.weight = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 1
-        rows = self._unit(rows * self.weight)
-        self.basis = _leading(rows, DIMENSIONS)
-        self.vectors = self._unit(rows @ self.basis)
-        self.labels = np.array(labels, np.float64)
+        rows *= self.weight
+        self.basis = _leading(self._unit(rows), DIMENSIONS)
+        self.vectors = np.concatenate([self.latent(rows[i : i + 512]) for i in range(0, len(rows), 512)])
 
     @staticmethod
     def _unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.linalg.norm(rows, axis=1, keepdims=True).clip(1e-12)
 
+    def latent(self, rows: np.ndarray) -> np.ndarray:
+        """The latent vectors of weighted rows, in whole steps."""
+        return np.rint(self._unit(rows.astype(np.float64) @ self.basis) * STEPS).astype(np.float32)
+
     def score(self, texts: list[str], block: int = 256) -> list[float]:
         """The voted label of each text, 0 to 1."""
         if not hasattr(self, "vectors"):
@@ -129,10 +137,13 @@ class Voters:
         out: list[float] = []
         for start in range(0, len(texts), block):
             rows = np.log1p(counts(texts[start : start + block])) * self.weight
-            near = self._unit(rows @ self.basis) @ self.vectors.T
-            k = min(NEIGHBOURS, near.shape[1])
-            at = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-            weight = np.take_along_axis(near, at, axis=1).clip(0).astype(np.float64) ** POWER
+            near = self.latent(rows) @ self.vectors.T
+            # One number for nearness and place in the sample, so that there are no ties.
+            n = near.shape[1]
+            near = near.astype(np.int64) * n + np.arange(n - 1, -1, -1)
+            top = -np.sort(-np.partition(near, n - min(NEIGHBOURS, n), axis=1)[:, -NEIGHBOURS:], axis=1)
+            at = n - 1 - top % n
+            weight = (top // n / STEPS**2).clip(0) ** POWER
             total = weight.sum(axis=1)
             voted = (weight * self.labels[at]).sum(axis=1) / total.clip(1e-300)
             out += np.where(total > 0, voted, self.mean).clip(0, 1).tolist()

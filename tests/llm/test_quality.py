@@ -40,12 +40,25 @@ def test_votes_match_all_cosines():
     docs, labels = corpus(80)
     texts = [t for _, t in docs]
     voters = quality.Voters(quality.counts(texts), [q for _, q in labels])
-    vectors = voters._unit((np.log1p(quality.counts(texts)) * voters.weight) @ voters.basis)
+    rows = np.log1p(quality.counts(texts)).astype(float) * voters.weight
+    vectors = rows @ voters.basis
+    vectors = np.rint(vectors / np.linalg.norm(vectors, axis=1, keepdims=True) * quality.STEPS)
+    assert (vectors == voters.vectors).all()
     for i, got in enumerate(voters.score(texts, block=7)):
-        near = vectors[i] @ voters.vectors.T
-        top = np.argsort(-near, kind="stable")[: quality.NEIGHBOURS]
-        weight = near[top].clip(0).astype(float) ** quality.POWER
-        assert abs(got - (weight * voters.labels[top]).sum() / weight.sum()) < 0.05
+        near = [int(sum(int(a) * int(b) for a, b in zip(vectors[i], v, strict=True))) for v in vectors]
+        top = sorted(range(len(near)), key=lambda k: (-near[k], k))[: quality.NEIGHBOURS]
+        weight = [max(0, near[k] / quality.STEPS**2) ** quality.POWER for k in top]
+        assert abs(got - sum(w * labels[k][1] for w, k in zip(weight, top, strict=True)) / sum(weight)) < 1e-12
+
+
+def test_ties_and_neighbours_in_a_block_change_nothing():
+    docs, labels = corpus(200)
+    texts = [t for _, t in docs[:100]] * 3 + ["zig zag " * 40, "", "x" * 500_000]
+    voters = quality.Voters(quality.counts(texts[:200]), [i % 2 for i in range(200)])  # equal texts of either label
+    whole = voters.score(texts)
+    assert whole == [voters.score([t])[0] for t in texts] == voters.score(texts[::-1], block=31)[::-1]
+    # Every text has two copies in the sample: the copy that comes first votes first.
+    assert whole[:100] == whole[100:200] == whole[200:300]
 
 
 def test_no_labels_and_no_rows(spark):
