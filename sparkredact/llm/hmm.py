@@ -2,8 +2,9 @@
 
 Counts. Training tokens are counted by word with partial sums in each task. The
 most frequent ``KNOWN`` words are broadcast with their counts (a fixed bound);
-what a text has beyond them is joined with the table of all counts by word. No
-word of that join is frequent, so none is hot.
+what a text has beyond them, each word once, is joined with the written table of all
+counts by word. Both sides are plain shuffles, so adaptive execution splits a word that
+many texts hold although it is none of the most frequent.
 
 Model. Latent states emit classes: each of the ``OWN`` most frequent words, the
 end among them, is a class; other words share ``SHARED`` classes by hash. A word
@@ -12,7 +13,9 @@ class, n and v being the tokens and distinct words of that class in training; th
 last 0.5 is for words never seen. So the score is a proper probability, and
 needs no table that grows with the vocabulary.
 
-Training. The first estimate comes from ``BURN_IN`` segments (a bounded sample).
+Training. A segment that begins a text begins with the start chances and counts for
+them; one from the middle of a text begins with the stationary ones of the moves, and
+doesn't. The first estimate comes from ``BURN_IN`` segments (a bounded sample).
 ``PASSES`` passes of Baum-Welch follow over the segments of ``SEGMENT`` tokens of
 all training texts; each task adds up its expected counts, which are summed by
 class and read once a pass: a table of fixed size.
@@ -183,14 +186,22 @@ class Model:
         move = np.full((STATES, STATES), 0.4 / (STATES - 1)) + np.eye(STATES) * (0.6 - 0.4 / (STATES - 1))
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
-    def expected(self, segments: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions over segments (rows of classes, lengths of them count)."""
+    def stationary(self, turns: int = 64) -> np.ndarray:
+        """The share of each state far from any start."""
+        share = self.start
+        for _ in range(turns):
+            share = share @ self.move
+        return share / share.sum()
+
+    def expected(self, segments: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, moves and emissions over segments (rows of classes, lengths of them count); first: where one begins a text."""
         n, longest = segments.shape
         live = np.arange(longest) < lengths[:, None]
         b = np.ascontiguousarray(self.emit[segments].transpose(1, 0, 2))
         forward, scale = np.empty_like(b), np.empty((longest, n))
+        begin = np.where(first[:, None], self.start, self.stationary())
         for t in range(longest):
-            a = b[t] * self.start if t == 0 else (forward[t - 1] @ self.move) * b[t]
+            a = b[t] * begin if t == 0 else (forward[t - 1] @ self.move) * b[t]
             scale[t] = a.sum(axis=1)
             forward[t] = a / scale[t, :, None]
         backward = np.ones((n, STATES))
@@ -205,7 +216,7 @@ class Model:
         moves *= self.move
         flat = segments.T.ravel()
         emits = np.stack([np.bincount(flat, gamma[:, :, k].ravel(), CLASSES) for k in range(STATES)], axis=1)
-        return gamma[0].sum(axis=0), moves, emits
+        return gamma[0][first].sum(axis=0), moves, emits
 
     @classmethod
     def estimated(cls, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, shares: np.ndarray) -> Model:
@@ -235,15 +246,16 @@ class Model:
         return out
 
 
-def segmented(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts cut to segments of SEGMENT classes at most, one a row, and their lengths."""
-    rows, lengths = [], []
+def segmented(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut to segments of SEGMENT classes at most, one a row, their lengths, and which begin a text."""
+    rows, lengths, first = [], [], []
     for raw in classes:
         own = np.frombuffer(raw, np.uint16).astype(np.int64)
         n = -(-len(own) // SEGMENT)
         rows.append(np.concatenate([own, np.zeros(n * SEGMENT - len(own), np.int64)]).reshape(n, SEGMENT))
         lengths.append(np.minimum(SEGMENT, len(own) - SEGMENT * np.arange(n)))
-    return np.concatenate(rows), np.concatenate(lengths)
+        first.append(np.arange(n) == 0)
+    return np.concatenate(rows), np.concatenate(lengths), np.concatenate(first)
 
 
 def trained(rows: DataFrame, words: Vocabulary) -> Model:
@@ -256,11 +268,13 @@ def trained(rows: DataFrame, words: Vocabulary) -> Model:
     # One segment from somewhere in each of a bounded number of texts, by smallest hash.
     h = F.xxhash64("row_id")
     pieces = F.ceil(F.octet_length("classes") / (2 * SEGMENT)).cast("long")
-    piece = F.substring(F.col("classes"), (F.pmod(h, pieces) * (2 * SEGMENT) + 1).cast("int"), F.lit(2 * SEGMENT))
-    first = [bytes(r["piece"]) for r in own.select(h.alias("h"), piece.alias("piece")).transform(smallest, "h", BURN_IN, "piece").collect()]
-    segments, lengths = segmented(first)
+    number = F.pmod(h, pieces)
+    piece = F.substring(F.col("classes"), (number * (2 * SEGMENT) + 1).cast("int"), F.lit(2 * SEGMENT))
+    drawn = own.select(h.alias("h"), piece.alias("piece"), (number == 0).alias("begins")).transform(smallest, "h", BURN_IN, "piece").collect()
+    segments, lengths, _ = segmented([bytes(r["piece"]) for r in drawn])
+    begins = np.array([r["begins"] for r in drawn], bool)
     for _ in range(BURNS):
-        model = Model.estimated(*model.expected(segments, lengths), shares)
+        model = Model.estimated(*model.expected(segments, lengths, begins), shares)
     for _ in range(PASSES):
         held = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -269,9 +283,9 @@ def trained(rows: DataFrame, words: Vocabulary) -> Model:
             starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
             for batch in batches:
                 for part in slices(batch, "classes", 1 << 19):
-                    segments, lengths = segmented(part.column("classes").to_pylist())
+                    segments, lengths, first = segmented(part.column("classes").to_pylist())
                     for i in range(0, len(segments), 2048):
-                        s, m, e = now.expected(segments[i : i + 2048], lengths[i : i + 2048])
+                        s, m, e = now.expected(segments[i : i + 2048], lengths[i : i + 2048], first[i : i + 2048])
                         starts += s
                         moves += m
                         emits += e
