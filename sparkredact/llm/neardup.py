@@ -16,15 +16,18 @@
    key's rows carry a sketch, the lowest bit of each symbol: pairs whose sizes or
    sketches are too far apart for the threshold are dropped in the JVM, those whose
    signatures are after that; the rest are confirmed on the full sets of both texts.
-4. Keys whose members are of one component by then need no further look. Of the
-   others those with ``SMALL`` members or fewer have their members of different
-   components paired, filtered and confirmed in the same way.
-5. The larger ones are gathered into families (nodes that share such keys), and a
-   family's members of different components are compared on their full sets in
-   blocks: a task holds two blocks of at most some ``BLOCK`` shingles, builds an
-   inverted index of one, counts the shared shingles of each text of the other,
-   and emits only the links that join two components. So no pair is ever a row.
-   Where a family's keys are fewer pairs than the family, each key is a group.
+4. Keys whose members are of one component by then need no further look. The
+   others are gathered into families (nodes that share such keys), where only
+   members of different components are compared:
+
+   * A family of more than ``FAMILY`` members is compared as a whole in blocks, where
+     that is not too much more than its keys hold (``WORTH``): a task has two blocks of some
+     ``BLOCK`` shingles, filters by sizes, sketches and signatures in arrays, confirms on the full
+     sets, and emits only the links that join two components. So no pair is ever a row.
+   * Of other families' keys those with more than ``SMALL`` members are groups that
+     are compared in the same way; the members of smaller ones are paired as in 3,
+     which is some pairs a node at most.
+
    Each two texts with a common key are thus compared or joined.
 
 Texts, keys and links are never collected on the driver, nor is a group held by
@@ -44,7 +47,7 @@ link() and kept by keep_first().
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -61,8 +64,10 @@ from .components import components
 MISSED = 3e-5
 #: Hash seeds of the minima, drawn once from a fixed generator.
 _SEED = 20_240_501
-#: Members of a key that are paired with each other at once; shingles of a block of texts that a task compares with another.
-SMALL, BLOCK = 8, 500_000
+#: Members of a key that are paired with each other; members of a family whose keys are; shingles of a block of texts.
+SMALL, FAMILY, BLOCK = 8, 64, 300_000
+#: Comparisons of a block (in arrays) that cost as much as a pair of a key (a row).
+WORTH = 200
 _HASHED = 200_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -328,79 +333,93 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
     mixed_keys = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("first"), F.count("*").alias("members")).filter("least <> most")
     mixed_keys = written(mixed_keys.select("key", "first", "members"), "mixed")
     left = written(left.join(mixed_keys, "key"), "left")
-    small, large = left.filter(F.col("members") <= SMALL), left.filter(F.col("members") > SMALL)
-    found = links_of(docs, nodes, pairs_within(small, how), how)
-    if not large.isEmpty():
-        found = found.union(written(links_in_groups(docs, nodes, large, how), "links"))
+    if left.isEmpty():
+        return labels
+    pairs, groups = in_families(left)
+    found = links_of(docs, nodes, pairs_within(pairs, how), how)
+    if not groups.isEmpty():
+        found = found.union(written(links_in_groups(docs, nodes, groups, how), "links"))
     return labels if found.isEmpty() else components(links.union(found))
 
 
-def links_in_groups(docs: DataFrame, nodes: DataFrame, left: DataFrame, how: Plan) -> DataFrame:
-    """Links (a, b) that join the components of members of a key; left has key, node, n, root, first and members."""
+def in_families(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of mixed keys whose pairs are looked at, and the groups (kind, grp, node, n, root) that are compared in blocks.
+
+    left has key, node, n, sketch, root, first and members.
+    """
     families = components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
     own = written(left.join(families, "node"), "families")
-    members = own.groupBy("family", "node").agg(F.max("n").alias("n"), F.max("root").alias("root"))
+    members = written(own.groupBy("family", "node").agg(F.max("n").alias("n"), F.max("root").alias("root")), "members")
     by_key = own.groupBy("family").agg(F.sum("members").alias("pairs"))  # each row of a key counts the key's members
-    by_family = members.groupBy("family").agg((F.count("*") * F.count("*")).alias("all_pairs"))
-    whole = written(by_family.join(by_key, "family").select("family", (F.col("all_pairs") <= F.col("pairs")).alias("whole")), "whole")
-    members = written(members, "members")
-    groups = members.join(whole.filter("whole"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "n", "root")
-    groups = written(groups.union(own.join(whole.filter("NOT whole"), "family").select(F.lit(1), "key", "node", "n", "root")), "groups")
+    by_family = members.groupBy("family").agg(F.count("*").alias("size"))
+    whole = (F.col("size") > FAMILY) & (F.col("size") * F.col("size") <= WORTH * F.col("pairs"))
+    large = written(by_family.join(by_key, "family").select("family", whole.alias("whole")), "whole")
+    groups = members.join(large.filter("whole"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "n", "root")
+    by_pairs = own.join(large.filter("NOT whole"), "family")
+    keys = by_pairs.filter(F.col("members") > SMALL).select(F.lit(1), "key", "node", "n", "root")
+    return by_pairs.filter(F.col("members") <= SMALL), written(groups.union(keys), "groups")
+
+
+def links_in_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Plan) -> DataFrame:
+    """Links (a, b) that join the components of members of a group; groups has kind, grp, node, n and root."""
     sizes = written(groups.groupBy("kind", "grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = groups.join(sizes, ["kind", "grp"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("kind", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
-    texts = written(texts_of(docs, nodes, groups.select("node").distinct()), "texts").dropDuplicates(["node"])
+    wanted = written(groups.select("node").distinct(), "wanted")
+    texts = texts_of(docs, nodes, wanted).dropDuplicates(["node"])
+    texts = written(texts.join(nodes.select("node", "signature"), "node"), "texts")
     sent = placed.join(texts, "node")
 
     def run(group: pa.Table) -> pa.Table:
-        sets = [shingles(t.as_py(), how.words) for t in group.column("text")]
-        names = group.column("node").to_pylist()
-        fits = [len(s) > 0 and node_of(s) == a for s, a in zip(sets, names, strict=True)]
-        sets = [s if ok else s[:0] for s, ok in zip(sets, fits, strict=True)]
+        names, texts = group.column("node").to_pylist(), group.column("text")
+        signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(names), -1)
         across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         second = np.array(group.column("second").to_pylist(), bool) if across else None
-        links = joining_links(sets, group.column("root").to_pylist(), second, how.per_cent)
+        links = joining_links(lambda x: texts[x].as_py(), names, signatures, group.column("root").to_pylist(), second, how)
         return pa.table({"a": pa.array([names[x] for x, _ in links], pa.int64()), "b": pa.array([names[y] for _, y in links], pa.int64())})
 
     return sent.groupBy("kind", "grp", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def joining_links(sets: list[np.ndarray], roots: list[int], second: np.ndarray | None, per_cent: int) -> list[tuple[int, int]]:
-    """Links that join the components in roots, by exact counts of shared shingles.
+def joining_links(text_of: Callable[[int], str], names: list[int], signatures: np.ndarray, roots: list[int], second: np.ndarray | None, how: Plan) -> list[tuple[int, int]]:
+    """Links that join the components in roots: near in signature, confirmed on the full sets.
 
     second marks the members of the second block, which are compared with those of
-    the first only; None: all are compared with each other.
+    the first only; None: all are compared with each other. Texts whose set is not
+    the one that the node names have no links.
     """
     top = {r: r for r in roots}
+    sets: dict[int, np.ndarray] = {}
 
-    def of(r: int) -> int:
+    def of(x: int) -> int:
+        r = roots[x]
         while top[r] != r:
             top[r] = top[top[r]]
             r = top[r]
         return r
 
-    sizes = np.array([len(s) for s in sets])
-    indexed = np.arange(len(sets)) if second is None else np.flatnonzero(~second)
-    asking = np.arange(len(sets)) if second is None else np.flatnonzero(second)
-    if not len(indexed) or not len(asking):
-        return []
-    owner = np.repeat(indexed, sizes[indexed])
-    postings = np.concatenate([sets[i] for i in indexed])
-    order = np.argsort(postings, kind="stable")
-    postings, owner = postings[order], owner[order]
+    def set_of(x: int) -> np.ndarray:
+        if x not in sets:
+            own = shingles(text_of(x), how.words)
+            sets[x] = own if len(own) and node_of(own) == names[x] else own[:0]
+        return sets[x]
+
+    bits = sketches(signatures, how.bits)
+    first = np.arange(len(names)) if second is None else np.flatnonzero(~second)
     links = []
-    for x in asking:
-        if not sizes[x]:
-            continue
-        lo, hi = np.searchsorted(postings, sets[x], "left"), np.searchsorted(postings, sets[x], "right")
-        counts = hi - lo
-        at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
-        for y in np.flatnonzero((both > 0) & (100 * both >= per_cent * (sizes + sizes[x] - both))):
-            if (p := of(roots[x])) != (q := of(roots[y])):
+    for x in range(len(names)) if second is None else np.flatnonzero(second).tolist():
+        others = first[:x] if second is None else first
+        near = others[np.bitwise_count(bits[others] ^ bits[x]) <= how.bit_distance]
+        near = near[(signatures[near] != signatures[x]).sum(axis=1) <= how.distance]
+        for y in near.tolist():
+            if (p := of(x)) == (q := of(y)):
+                continue
+            a, b = set_of(x), set_of(y)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both and 100 * both >= how.per_cent * (len(a) + len(b) - both):
                 top[p] = q
-                links.append((int(x), int(y)))
+                links.append((x, y))
     return links
 
 

@@ -57,9 +57,10 @@ def fixture():
     return docs + [(None, "same old words here"), (None, "lonely text without id at all"), (7, "one")]
 
 
-@pytest.mark.parametrize(("words", "per_cent", "small", "block"), [(3, 85, 8, 1_000_000), (5, 80, 2, 1_000_000), (3, 85, 2, 1500)])
-def test_against_all_pairs(spark, monkeypatch, words, per_cent, small, block):
+@pytest.mark.parametrize(("words", "per_cent", "small", "block", "family"), [(3, 85, 8, 1_000_000, 64), (5, 80, 2, 1_000_000, 3), (3, 85, 2, 1500, 3), (3, 85, 0, 1500, 1000)])
+def test_against_all_pairs(spark, monkeypatch, words, per_cent, small, block, family):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "FAMILY", family)
     monkeypatch.setattr(neardup, "BLOCK", block)
     docs = fixture()
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, node string").repartition(3)
