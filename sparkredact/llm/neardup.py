@@ -20,13 +20,15 @@
    others are gathered into families (nodes that share such keys), where only
    members of different components are compared:
 
-   * A family of more than ``FAMILY`` members is compared as a whole in blocks, where
-     that is not too much more than its keys hold (``WORTH``): a task has two blocks of some
-     ``BLOCK`` shingles, filters by sizes, sketches and signatures in arrays, confirms on the full
-     sets, and emits only the links that join two components. So no pair is ever a row.
-   * Of other families' keys those with more than ``SMALL`` members are groups that
-     are compared in the same way; the members of smaller ones are paired as in 3,
-     which is some pairs a node at most.
+   * The members of a family of at most ``FAMILY`` are paired, as in 3.
+   * A larger one is compared as a whole in blocks, where that is not too much more
+     than its keys hold (``WORTH``): a task has two blocks, filters by sizes, sketches
+     and signatures in arrays, confirms on the full sets, and emits only the links that
+     join two components. So no pair is ever a row. The number of blocks, so of copies of a
+     text, grows with the square root of the family, and so does a task; a block has some
+     ``BLOCK`` shingles at most.
+   * Of other families' keys those with more than ``SMALL`` members are compared like
+     that; the members of smaller ones are paired, which is some pairs a node at most.
 
    Each two texts with a common key are thus compared or joined.
 
@@ -64,7 +66,7 @@ from .components import components
 MISSED = 3e-5
 #: Hash seeds of the minima, drawn once from a fixed generator.
 _SEED = 20_240_501
-#: Members of a key that are paired with each other; members of a family whose keys are; shingles of a block of texts.
+#: Members of a key that are paired with each other; those of a family; shingles of a block of texts.
 SMALL, FAMILY, BLOCK = 8, 64, 300_000
 #: Comparisons of a block (in arrays) that cost as much as a pair of a key (a row).
 WORTH = 200
@@ -335,34 +337,37 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, how: Plan) -> DataFrame:
     left = written(left.join(mixed_keys, "key"), "left")
     if left.isEmpty():
         return labels
-    pairs, groups = in_families(left)
-    found = links_of(docs, nodes, pairs_within(pairs, how), how)
+    pairs, groups = in_families(left, how)
+    found = links_of(docs, nodes, pairs, how)
     if not groups.isEmpty():
         found = found.union(written(links_in_groups(docs, nodes, groups, how), "links"))
     return labels if found.isEmpty() else components(links.union(found))
 
 
-def in_families(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of mixed keys whose pairs are looked at, and the groups (kind, grp, node, n, root) that are compared in blocks.
+def in_families(left: DataFrame, how: Plan) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of members of mixed keys that are looked at, and the groups (kind, grp, node, n, root) that are compared in blocks.
 
     left has key, node, n, sketch, root, first and members.
     """
     families = components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
     own = written(left.join(families, "node"), "families")
-    members = written(own.groupBy("family", "node").agg(F.max("n").alias("n"), F.max("root").alias("root")), "members")
+    members = written(own.groupBy("family", "node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("root").alias("root")), "members")
     by_key = own.groupBy("family").agg(F.sum("members").alias("pairs"))  # each row of a key counts the key's members
     by_family = members.groupBy("family").agg(F.count("*").alias("size"))
-    whole = (F.col("size") > FAMILY) & (F.col("size") * F.col("size") <= WORTH * F.col("pairs"))
-    large = written(by_family.join(by_key, "family").select("family", whole.alias("whole")), "whole")
-    groups = members.join(large.filter("whole"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "n", "root")
-    by_pairs = own.join(large.filter("NOT whole"), "family")
-    keys = by_pairs.filter(F.col("members") > SMALL).select(F.lit(1), "key", "node", "n", "root")
-    return by_pairs.filter(F.col("members") <= SMALL), written(groups.union(keys), "groups")
+    way = F.when(F.col("size") <= FAMILY, "pairs").when(F.col("size") * F.col("size") <= WORTH * F.col("pairs"), "whole").otherwise("keys")
+    ways = written(by_family.join(by_key, "family").select("family", way.alias("way")), "ways")
+    groups = members.join(ways.filter("way = 'whole'"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "n", "root")
+    by_keys = own.join(ways.filter("way = 'keys'"), "family")
+    groups = written(groups.union(by_keys.filter(F.col("members") > SMALL).select(F.lit(1), "key", "node", "n", "root")), "groups")
+    within = members.join(ways.filter("way = 'pairs'"), "family").select(F.col("family").alias("key"), "node", "n", "sketch", "root")
+    within = written(within.union(by_keys.filter(F.col("members") <= SMALL).select("key", "node", "n", "sketch", "root")), "within")
+    return pairs_within(within, how), groups
 
 
 def links_in_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Plan) -> DataFrame:
     """Links (a, b) that join the components of members of a group; groups has kind, grp, node, n and root."""
-    sizes = written(groups.groupBy("kind", "grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "sizes")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sqrt(F.count("*")) / 5)).cast("int")
+    sizes = written(groups.groupBy("kind", "grp").agg(blocks.alias("blocks")), "sizes")
     placed = groups.join(sizes, ["kind", "grp"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("kind", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "root")
