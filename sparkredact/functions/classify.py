@@ -20,26 +20,29 @@ _SUPPRESSING = ("api_key", "access_token", "email", "url", "thai_national_id", "
 
 
 #: Columns that the steps add and drop again.
-_PARTS = ("_text", "_stripped", "_tokens", "_stripped_tokens", "_digit", "_thai", "_assigns", "_dotted")
+_PARTS = ("_text", "_low", "_stripped", "_tokens", "_stripped_tokens", "_low_tokens", "_low_stripped_tokens", "_digit", "_thai", "_assigns", "_dotted")
 
 
 def with_text_parts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the parts of the text that several detectors share, each computed once.
 
     Four cheap tests come with them: most texts have no digit, no Thai, no sign of an
-    assignment or nothing like a domain, and need none of the patterns that ask for one.
+    assignment or nothing like a domain, and need none of the patterns that ask for one. In
+    _low the long s counts as an s, which patterns in either case take it for.
     """
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = df.withColumn("_text", plain)
     t = F.col("_text")
-    df = df.withColumns({"_digit": t.rlike(D), "_thai": t.rlike(f"[{THAI}]"), "_assigns": t.contains("=") | t.contains(":"), "_dotted": t.contains("://") | t.rlike(f"\\.{NOT_S}")})
+    df = df.withColumns({"_low": F.translate(F.lower(t), "\u017f", "s"), "_digit": t.rlike(D), "_thai": t.rlike(f"[{THAI}]"), "_assigns": t.contains("=") | t.contains(":"), "_dotted": t.contains("://") | t.rlike(f"\\.{NOT_S}")})
     df = df.withColumn("_stripped", F.when(F.col("_dotted"), d.stripped(t)).otherwise(t))
-    return df.withColumns({"_tokens": d.tokens(t), "_stripped_tokens": F.when(F.col("_dotted"), d.tokens(F.col("_stripped"))).otherwise(d.tokens(t))})
+    df = df.withColumn("_tokens", d.tokens(t))
+    df = df.withColumn("_stripped_tokens", F.when(F.col("_dotted"), d.tokens(F.col("_stripped"))).otherwise(F.col("_tokens")))
+    return df.withColumns({"_low_tokens": F.lower("_tokens"), "_low_stripped_tokens": F.lower("_stripped_tokens")})
 
 
 def raw_flags() -> dict[str, Column]:
     """The conditions of single detectors over the parts of with_text_parts()."""
-    text, bare, joined, bare_joined = (F.col(c) for c in ("_text", "_stripped", "_tokens", "_stripped_tokens"))
+    text, low, bare, bare_joined, low_joined, low_bare_joined = (F.col(c) for c in ("_text", "_low", "_stripped", "_stripped_tokens", "_low_tokens", "_low_stripped_tokens"))
     digit, thai, assigns, dotted = (F.col(c) for c in ("_digit", "_thai", "_assigns", "_dotted"))
     return {
         "thai_national_id": digit & d.thai_national_id(text),
@@ -48,18 +51,18 @@ def raw_flags() -> dict[str, Column]:
         "license_plate": digit & thai & text.rlike(d.PLATE),
         "date_of_birth": digit & d.date(text),
         "thai_address": thai & d.thai_address(text),
-        "job_title": (thai & d.thai_job_title(text)) | d.latin_job_title(text, joined),
+        "job_title": (thai & d.thai_job_title(text)) | d.latin_job_title(F.lower(text), low_joined),
         "email": text.contains("@") & text.rlike(d.EMAIL),
         "url": dotted & text.rlike(d.URL),
         "money_amount": digit & text.rlike(d.MONEY),
         "percent_value": text.contains("%") & digit & text.rlike(d.PERCENT),
-        "access_token": d.any_of_patterns(text, d.ACCESS_TOKEN) | (assigns & text.rlike(d.TOKEN_ASSIGNED)),
-        "secret": text.rlike(d.PRIVATE_KEY) | (assigns & d.any_of_patterns(text, d.SECRET_ASSIGNED)),
+        "access_token": d.any_of_patterns(text, text, d.ACCESS_TOKEN) | d.any_of_patterns(text, low, d.BEARER) | (assigns & d.any_of_patterns(text, low, d.TOKEN_ASSIGNED)),
+        "secret": d.any_of_patterns(text, text, d.PRIVATE_KEY) | (assigns & d.any_of_patterns(text, low, d.SECRET_ASSIGNED)),
         "phone": digit & d.phone(text),
-        "key": d.any_of_patterns(text, d.API_KEY) | (assigns & d.any_of_patterns(text, d.KEY_ASSIGNED)),
-        "long_token": digit & text.rlike(d.LONG_TOKEN),
-        "organization_name": (thai & d.thai_organization(text)) | d.latin_organization(bare_joined),
-        "person_name": (thai & d.thai_person(text)) | d.latin_person(bare, bare_joined),
+        "key": d.any_of_patterns(text, text, d.API_KEY) | (assigns & d.any_of_patterns(text, low, d.KEY_ASSIGNED)),
+        "long_token": digit & text.rlike(r"[A-Za-z0-9_\-]{24}") & text.rlike(d.LONG_TOKEN),
+        "organization_name": (thai & d.thai_organization(text)) | d.latin_organization(low_bare_joined),
+        "person_name": (thai & d.thai_person(text)) | d.latin_person(F.lower(bare), bare_joined, low_bare_joined),
         "credit_card": digit & d.credit_card(text),
         "ip_address": d.ip_address(text),
         "iban": digit & d.iban(text),

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import checksums
-from .dialect import FOLDED, NOT_S, S_IN, THAI, THAI_CONSONANT, B, D, I, S, W, any_of
+from .dialect import AFTER, BEFORE, FOLDED, NOT_S, S_IN, THAI, THAI_CONSONANT, B, D, I, S, W, any_of
 from .lexicon import (
     BAHT,
     CURRENCY_CODES,
@@ -34,9 +34,10 @@ from .lexicon import (
     TOP_LEVEL_DOMAINS,
 )
 
+# The patterns define what counts as a finding.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 _LABEL = f"[a-z0-9{FOLDED}]"
-URL = f"{I}{B}(?:(?:https?://|ftp://|www\\.){NOT_S}+|(?:{_LABEL}(?:[a-z0-9{FOLDED}\\-]*{_LABEL})?\\.)+(?:{'|'.join(TOP_LEVEL_DOMAINS)})(?:/{NOT_S}*)?)"
+URL = f"{I}{BEFORE}(?:(?:https?://|ftp://|www\\.){NOT_S}+|(?:{_LABEL}(?:[a-z0-9{FOLDED}\\-]*{_LABEL})?\\.)+(?:{'|'.join(TOP_LEVEL_DOMAINS)})(?:/{NOT_S}*)?)"
 _GAP = f"[{S_IN}\\-.]?"
 PHONE = f"(?<!{W})(?:\\+{D}{{1,3}}{_GAP}(?:\\(?{D}{{1,4}}\\)?{_GAP})?{D}{{2,4}}(?:{_GAP}{D}{{2,4}}){{1,3}}|0{D}{{1,2}}{_GAP}{D}{{3}}{_GAP}{D}{{3,4}})(?!{W})"
 _DASH = f"[{S_IN}\\-]"
@@ -52,27 +53,30 @@ ADDRESS_MARK = f"(?<![{THAI}])(?:[อจ]\\.{S}?[{THAI_CONSONANT}]|ต\\.(?: ?(?
 _SYMBOL = f"[{CURRENCY_SYMBOLS}]"
 _CODE = f"(?:{'|'.join(CURRENCY_CODES)})"
 #: Whether an amount stands there, not how far it reaches: a digit beside a symbol, or digits beside a code.
-MONEY = f"{I}(?:{_SYMBOL}{S}?{D}|{D}{S}?(?:{_SYMBOL}|{BAHT})|{B}{_CODE}{S}?{D}+(?!{W})|(?<!{W}){D}+{S}?{_CODE}(?!{W}))"
+MONEY = f"{I}(?:{_SYMBOL}{S}?{D}|{D}{S}?(?:{_SYMBOL}|{BAHT})|{BEFORE}{_CODE}{S}?{D}+(?!{W})|(?<!{W}){D}+{S}?{_CODE}(?!{W}))"
 PERCENT = f"(?<![\\p{{L}}\\p{{N}}_.]){D}+(?:[.,]{D}+)?{S}?%"
+#: Pairs of a text that must be there (in lower case, where the pattern takes either) and a pattern.
 ACCESS_TOKEN = [
-    f"{B}eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+",
-    f"{B}gh[pousr]_[A-Za-z0-9]{{20,}}",
-    f"{I}{B}bearer{S}+[A-Za-z0-9{FOLDED}._\\-]{{8,}}",
+    ("eyJ", f"{BEFORE}eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+"),
+    *((f"gh{c}_", f"{BEFORE}gh{c}_[A-Za-z0-9]{{20,}}") for c in "pousr"),
 ]
-TOKEN_ASSIGNED = f"{I}{B}(?:access[_\\-]?token|auth[_\\-]?token|token){B}{S}*[:=]{S}*{NOT_S}{{6,}}"
+BEARER = [("bearer", f"{I}{BEFORE}bearer{S}+[A-Za-z0-9{FOLDED}._\\-]{{8,}}")]
+TOKEN_ASSIGNED = [("token", f"{I}{BEFORE}(?:access[_\\-]?token|auth[_\\-]?token|token){AFTER}{S}*[:=]{S}*{NOT_S}{{6,}}")]
 API_KEY = [
-    f"{B}sk-(?:proj-)?[A-Za-z0-9]{{16,}}",
-    f"{B}(?:AKIA|ASIA)[0-9A-Z]{{16}}{B}",
-    f"{B}AIza[0-9A-Za-z_\\-]{{35}}{B}",
+    ("sk-", f"{BEFORE}sk-(?:proj-)?[A-Za-z0-9]{{16,}}"),
+    ("AKIA", f"{BEFORE}AKIA[0-9A-Z]{{16}}{AFTER}"),
+    ("ASIA", f"{BEFORE}ASIA[0-9A-Z]{{16}}{AFTER}"),
+    ("AIza", f"{BEFORE}AIza[0-9A-Za-z_\\-]{{35}}{B}"),
 ]
 KEY_ASSIGNED = [
-    f"{I}{B}(?:api[_\\-]?key|apikey|client[_\\-]?secret|secret[_\\-]?key){B}{S}*[:=]{S}*{NOT_S}{{6,}}",
-    f"{I}{B}[A-Z0-9{FOLDED}_]*KEY{B}{S}*[:=]{S}*{NOT_S}{{3,}}",
+    ("key", f"{I}{BEFORE}(?:api[_\\-]?key|apikey|secret[_\\-]?key){AFTER}{S}*[:=]{S}*{NOT_S}{{6,}}"),
+    ("secret", f"{I}{BEFORE}client[_\\-]?secret{AFTER}{S}*[:=]{S}*{NOT_S}{{6,}}"),
+    ("key", f"{I}{BEFORE}[A-Z0-9{FOLDED}_]*KEY{AFTER}{S}*[:=]{S}*{NOT_S}{{3,}}"),
 ]
-PRIVATE_KEY = "-----BEGIN (?:RSA |EC |OPENSSH |PGP |DSA )?PRIVATE KEY-----"
+PRIVATE_KEY = [("-----BEGIN ", "-----BEGIN (?:RSA |EC |OPENSSH |PGP |DSA )?PRIVATE KEY-----")]
 SECRET_ASSIGNED = [
-    f"{I}{B}[A-Z0-9{FOLDED}_]*(?:secret|password|passwd|pwd|passphrase|token){B}{S}*[:=]{S}*{NOT_S}{{4,}}",
-    f"{I}{B}[a-z{FOLDED}][a-z0-9{FOLDED}+.\\-]*://[^{S_IN}:/@]+:[^{S_IN}:/@]+@",
+    *((w, f"{I}{BEFORE}[A-Z0-9{FOLDED}_]*{w}{AFTER}{S}*[:=]{S}*{NOT_S}{{4,}}") for w in ("secret", "password", "passwd", "pwd", "passphrase", "token")),
+    ("://", f"{I}{BEFORE}[a-z{FOLDED}][a-z0-9{FOLDED}+.\\-]*://[^{S_IN}:/@]+:[^{S_IN}:/@]+@"),
 ]
 LONG_TOKEN = f"{B}(?=[A-Za-z0-9_\\-]*[A-Za-z])(?=[A-Za-z0-9_\\-]*{D})[A-Za-z0-9_\\-]{{24,}}{B}"
 #: Structured identifiers after public standards.
@@ -103,10 +107,11 @@ def _any_match(text: Column, pattern: str, ok) -> Column:
     return F.when(text.rlike(pattern), F.exists(_matches(text, pattern), ok)).otherwise(False)
 
 
-def any_of_patterns(text: Column, patterns: list[str]) -> Column:
-    out = text.rlike(patterns[0])
-    for p in patterns[1:]:
-        out = out | text.rlike(p)
+def any_of_patterns(text: Column, searched: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Whether a pattern is found in text; each is tried only where its fixed part is in searched, the text itself or in lower case."""
+    out = F.lit(False)
+    for part, pattern in patterns:
+        out = out | (searched.contains(part) & text.rlike(pattern))
     return out
 
 
@@ -120,9 +125,9 @@ def tokens(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(_matches(text, TOKEN), " "), F.lit(" "))
 
 
-def _has_token(joined: Column, words) -> Column:
-    """Whether a token without its trailing dots is one of words, in either case."""
-    return joined.rlike(f" (?i:{any_of(words)})\\.* ")
+def _has_token(low_joined: Column, words) -> Column:
+    """Whether a token without its trailing dots is one of words; tokens and words are in lower case."""
+    return low_joined.rlike(f" {any_of(w.lower() for w in words)}\\.* ")
 
 
 def _contains(text: Column, words) -> Column:
@@ -149,8 +154,8 @@ def thai_job_title(text: Column) -> Column:
     return _contains(text, THAI_JOB_TITLES)
 
 
-def latin_job_title(text: Column, joined: Column) -> Column:
-    return _contains(F.lower(text), LATIN_JOB_PHRASES) | _has_token(joined, LATIN_JOB_WORDS)
+def latin_job_title(low: Column, low_joined: Column) -> Column:
+    return _contains(low, LATIN_JOB_PHRASES) | _has_token(low_joined, LATIN_JOB_WORDS)
 
 
 def thai_person(text: Column) -> Column:
@@ -166,23 +171,23 @@ def thai_organization(text: Column) -> Column:
     return _contains(text, THAI_ORG_WORDS)
 
 
-def latin_organization(joined: Column) -> Column:
-    return _has_token(joined, LATIN_ORG_WORDS)
+def latin_organization(low_joined: Column) -> Column:
+    return _has_token(low_joined, LATIN_ORG_WORDS)
 
 
-def latin_person(text: Column, joined: Column) -> Column:
-    """text and joined (its tokens) without e-mail addresses and URLs."""
-    low = F.lower(text)
+def latin_person(low: Column, joined: Column, low_joined: Column) -> Column:
+    """The text in lower case, its tokens as they are and in lower case, all without e-mail addresses and URLs."""
     rest = low
     for label in NAME_LABELS:
         rest = F.replace(rest, F.lit(label), F.lit(" "))
     labelled = _contains(low, NAME_LABELS) & rest.rlike("[a-z]")
-    titled = joined.rlike(f" (?i:{any_of(PERSON_TITLES)})\\.* [A-Z]")
-    named = _has_token(joined, GIVEN_NAMES)
+    titles = any_of(w.lower() for w in PERSON_TITLES)
+    titled = low_joined.rlike(f" {titles}\\.* ") & joined.rlike(f" (?i:{titles})\\.* [A-Z]")
+    named = _has_token(low_joined, GIVEN_NAMES)
     # Two capitalised words in a row; hyphens and apostrophes don't count, dots at a word's end neither.
     word = r"[A-Z](?:[\-']*[a-z])+[\-']*\.* "
-    run = joined.rlike(f" {word}{word}") & ~latin_organization(joined)
-    return labelled | titled | named | run
+    run = joined.rlike(f" {word}{word}") & ~latin_organization(low_joined)
+    return named | titled | run | labelled
 
 
 def credit_card(text: Column) -> Column:
@@ -190,7 +195,8 @@ def credit_card(text: Column) -> Column:
 
 
 def ip_address(text: Column) -> Column:
-    return text.rlike(IPV4) | text.rlike(IPV6)
+    four = text.contains(".") & text.rlike("[0-9]\\.[0-9]") & text.rlike(IPV4)
+    return four | (text.contains(":") & text.rlike(":[0-9A-Fa-f]{0,4}:") & text.rlike(IPV6))
 
 
 def iban(text: Column) -> Column:
@@ -198,6 +204,6 @@ def iban(text: Column) -> Column:
 
 
 def crypto_wallet(text: Column) -> Column:
-    return text.rlike(ETHEREUM) | _any_match(text, BASE58, checksums.base58_ok) | _any_match(text, BECH32, checksums.bech32_ok)
+    return (text.contains("0x") & text.rlike(ETHEREUM)) | _any_match(text, BASE58, checksums.base58_ok) | (text.contains("bc1") & _any_match(text, BECH32, checksums.bech32_ok))
 
 
