@@ -55,15 +55,20 @@ def redact(images: DataFrame, regions: DataFrame) -> DataFrame:
     Boxes are gathered by image, pixels of images without any never leave the JVM; shape and type stay.
     """
     boxes = regions.groupBy("image_id").agg(F.collect_list("box").alias("boxes"))  # a page's regions
+    rows = images.join(boxes, "image_id", "left")
+    return rows.withColumn("data", blackened("height", "width", "channels", "data", F.col("boxes"))).drop("boxes")
+
+
+def blackened(height: str, width: str, channels: str, data: str, boxes: Column) -> Column:
+    """The pixels with boxes (null: none) black; those of images without any never leave the JVM."""
 
     @F.pandas_udf("binary")
-    def fill(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else blacked(array_of(int(a), int(b), int(n), d), own).tobytes() for a, b, n, d, own in zip(h, w, c, data, found, strict=True)])
+    def fill(h: pd.Series, w: pd.Series, c: pd.Series, d: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else blacked(array_of(int(a), int(b), int(n), x), own).tobytes() for a, b, n, x, own in zip(h, w, c, d, found, strict=True)])
 
-    some = F.col("boxes").isNotNull() & F.col("data").isNotNull()
-    rows = images.join(boxes, "image_id", "left")
-    data = F.when(some, fill("height", "width", "channels", F.when(some, F.col("data")), F.coalesce("boxes", F.array().cast(dict(boxes.dtypes)["boxes"])))).otherwise(F.col("data"))
-    return rows.withColumn("data", data).drop("boxes")
+    own = F.coalesce(boxes, F.array().cast("array<struct<x:int,y:int,width:int,height:int>>"))
+    some = (F.size(own) > 0) & F.col(data).isNotNull()
+    return F.when(some, fill(height, width, channels, F.when(some, F.col(data)), own)).otherwise(F.col(data))
 
 
 def png(image: np.ndarray) -> bytes:

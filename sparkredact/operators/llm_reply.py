@@ -31,15 +31,22 @@ def reply_object(content: Column) -> Column:
     return F.coalesce(_object(content), F.when(content.contains("```"), first), _object(F.regexp_extract(content, r"\{[\s\S]*\}", 0)))
 
 
-def reply_categories(replies: DataFrame) -> DataFrame:
-    """(image_id, seg_idx, categories) of replies (image_id, num_segments, content).
+def reply_entries(content: Column, num_segments: Column) -> Column:
+    """The array of (seg_idx, categories) of a reply.
 
     Keys must be numbers of segments and values lists; others are left out alone. Of keys with the same number the last counts.
     """
-    entries = replies.select("image_id", "num_segments", F.posexplode(F.map_entries(reply_object(F.col("content")))).alias("at", "e"))
-    labels = F.from_json(F.col("e.value"), "array<string>")
-    labels = F.transform(labels, lambda x: F.lower(F.trim(x)))
-    rows = entries.select("image_id", "num_segments", "at", F.trim(F.col("e.key")).try_cast("int").alias("seg_idx"), F.when(F.trim("e.value").startswith("["), known_only(labels)).alias("categories"))
-    rows = rows.filter("seg_idx >= 0 AND seg_idx < num_segments AND categories IS NOT NULL AND size(categories) > 0")
-    last = rows.groupBy("image_id", "seg_idx").agg(F.max_by("categories", "at").alias("categories"))
-    return last
+    entries = F.coalesce(F.map_entries(reply_object(content)), F.array().cast("array<struct<key:string,value:string>>"))
+
+    def read(e: Column) -> Column:
+        labels = F.transform(F.from_json(e["value"], "array<string>"), lambda x: F.lower(F.trim(x)))
+        return F.struct(F.trim(e["key"]).try_cast("int").alias("seg_idx"), F.when(F.trim(e["value"]).startswith("["), known_only(labels)).alias("categories"))
+
+    good = F.filter(F.transform(entries, read), lambda r: (r["seg_idx"] >= 0) & (r["seg_idx"] < num_segments) & r["categories"].isNotNull() & (F.size(r["categories"]) > 0))
+    # The later of two entries with a number is the one that no other follows.
+    return F.filter(good, lambda r, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda other: other["seg_idx"] == r["seg_idx"]))
+
+
+def reply_categories(replies: DataFrame) -> DataFrame:
+    """(image_id, seg_idx, categories) of replies (image_id, num_segments, content)."""
+    return replies.select("image_id", F.inline(reply_entries(F.col("content"), F.col("num_segments"))))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layers import regions as sensitive
-
 RESULT_SCHEMA = "image_width int, image_height int, count int, regions array<struct<box: struct<x: int, y: int, width: int, height: int>, categories: array<string>, text: string, confidence: double>>"
 
 
@@ -32,14 +30,25 @@ def debug_table(detected: DataFrame) -> DataFrame:
     )
 
 
+def found_by_image(detected: DataFrame) -> DataFrame:
+    """(image_id, r, fallback) for each image with segments: the sensitive ones, and whether patterns stood alone for any."""
+    own = F.struct("seg_idx", "box", "categories", "text", "confidence")
+    fallback = F.max("fallback") if "fallback" in detected.columns else F.lit(False)
+    # A group is one image's segments, as many as fit on a page; collect_list leaves nulls out.
+    return detected.groupBy("image_id").agg(F.sort_array(F.collect_list(F.when(F.size("categories") > 0, own))).alias("r"), fallback.alias("fallback"))
+
+
+def with_results(rows: DataFrame) -> DataFrame:
+    """rows with regions and their count in place of the r of found_by_image(); null is none."""
+    regions = F.transform(F.coalesce("r", F.array().cast(dict(rows.dtypes)["r"])), lambda r: F.struct(r["box"].alias("box"), r["categories"].alias("categories"), r["text"].alias("text"), r["confidence"].alias("confidence")))
+    return rows.withColumn("regions", regions).withColumn("count", F.size("regions")).drop("r")
+
+
 def results(detected: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, image_width, image_height, count, regions) for each of images (image_id, width, height)."""
-    own = F.struct("seg_idx", "box", "categories", "text", "confidence")
-    # A group is one image's regions, as many as fit on a page.
-    found = sensitive(detected).groupBy("image_id").agg(F.sort_array(F.collect_list(own)).alias("r"))
+    found = found_by_image(detected)
     rows = images.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height")).join(found, "image_id", "left")
-    regions = F.transform(F.coalesce("r", F.array().cast(dict(found.dtypes)["r"])), lambda r: F.struct(r["box"].alias("box"), r["categories"].alias("categories"), r["text"].alias("text"), r["confidence"].alias("confidence")))
-    return rows.withColumn("regions", regions).withColumn("count", F.size("regions")).select("image_id", "image_width", "image_height", "count", "regions")
+    return with_results(rows).select("image_id", "image_width", "image_height", "count", "regions")
 
 
 def to_json(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import images as pixels
 from ..operators import preprocess, report
-from ..operators.layers import Layer, detect, regions, warnings_of
+from ..operators.layers import FALLBACK_WARNING, Layer, detect
 
 
 def process(images: DataFrame, segments: DataFrame, layers: list[Layer] | None = None, redact: bool = True, passthrough: bool = True) -> DataFrame:
@@ -22,17 +22,14 @@ def process(images: DataFrame, segments: DataFrame, layers: list[Layer] | None =
     good = ready.filter("sufficient").select("image_id")
     detected = detect(segments.join(good, "image_id", "left_semi"), layers)
     made = ready if passthrough else preprocess.prepared(ready)
-    size = made.select("image_id", "width", "height")
-    found = report.results(detected, size)
-    rows = made.select("image_id", "height", "width", "channels", "data", "sufficient", "warnings")
-    if redact:
-        black = pixels.redact(rows.filter("sufficient").select("image_id", "height", "width", "channels", "data"), regions(detected))
-        rows = rows.join(black.select("image_id", F.col("data").alias("redacted")), "image_id", "left")
-    else:
-        rows = rows.withColumn("redacted", F.lit(None).cast("binary"))
-    rows = rows.join(warnings_of(detected).withColumnRenamed("warnings", "more"), "image_id", "left")
-    warnings = F.concat("warnings", F.coalesce("more", F.array().cast("array<string>")))
-    return rows.select("image_id", "channels", "sufficient", warnings.alias("warnings"), F.col("data").alias("processed"), "redacted").join(found, "image_id")
+    # One row for each image from one pass over its segments: regions, boxes and warnings all come from it.
+    found = report.found_by_image(detected)
+    rows = made.select("image_id", "height", "width", "channels", "data", "sufficient", "warnings").join(found, "image_id", "left")
+    rows = report.with_results(rows)
+    redacted = pixels.blackened("height", "width", "channels", "data", F.col("regions.box")) if redact else F.lit(None).cast("binary")
+    more = F.when(F.coalesce("fallback", F.lit(False)), F.array(F.lit(FALLBACK_WARNING))).otherwise(F.array().cast("array<string>"))
+    columns = ["image_id", "channels", "sufficient", F.concat("warnings", more).alias("warnings"), F.col("data").alias("processed"), F.when(F.col("sufficient"), redacted).alias("redacted")]
+    return rows.select(*columns, F.col("width").alias("image_width"), F.col("height").alias("image_height"), "count", "regions")
 
 
 def returned_image(processed: DataFrame) -> DataFrame:
