@@ -189,14 +189,14 @@ def detect(segments: DataFrame, layers: list[Layer] | None = None, use_layers: b
     return found.withColumn("fallback", failed)
 
 
-def regions(detected: DataFrame) -> DataFrame:
-    """The segments with at least one category.
+def held(rows: DataFrame) -> DataFrame:
+    """rows through a generator, below which filters aren't pushed: pushed into the projection they would have all patterns run twice."""
+    return rows.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in rows.columns)))))
 
-    The row goes through a generator, below which a filter isn't pushed: pushed
-    into the projection it would have all patterns run twice.
-    """
-    once = detected.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in detected.columns)))))
-    return once.filter(F.size("categories") > 0)
+
+def regions(detected: DataFrame) -> DataFrame:
+    """The segments with at least one category."""
+    return held(detected).filter(F.size("categories") > 0)
 
 
 def warnings_of(detected: DataFrame) -> DataFrame:

@@ -40,19 +40,15 @@ def overlay_errors(replies: DataFrame) -> DataFrame:
     return parsed.filter(bad).select("image_id", F.lit("OCR_FAILED").alias("code"), F.coalesce("r.ErrorMessage", F.lit("no readable reply")).alias("message"))
 
 
-def polygon_segments(results: DataFrame) -> DataFrame:
-    """Segments of results with parallel arrays of texts, scores and polygons, and perhaps words with regions.
-
-    results: image_id, width, height, rec_texts, rec_scores, rec_polys (arrays of
-    [x, y]), text_word, text_word_region. A line whose words and regions are
-    equally many gives a segment for each word that isn't blank; with a bad region
-    among them, and otherwise, the line is one segment. A line without polygon is left out.
-    """
+def _polygon_lines(results: DataFrame) -> DataFrame:
+    """Each line of results with a polygon: its parts, and whether the polygon can be read."""
     point = lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))
+    if "dt_polys" in results.columns:
+        results = results.withColumn("rec_polys", F.coalesce("rec_polys", "dt_polys"))
     arrays = ("rec_texts", "rec_scores", "rec_polys", "text_word", "text_word_region")
     # Missing arrays are empty ones: zipped with a null the whole would be null.
     full = results.select("image_id", "width", "height", *(F.coalesce(F.col(c), F.array().cast(results.schema[c].dataType)).alias(c) for c in arrays))
-    zipped = full.select("image_id", "width", "height", F.posexplode(F.arrays_zip(*arrays)).alias("line", "l"))
+    zipped = full.select("image_id", "width", "height", F.size("rec_texts").alias("texts"), F.posexplode(F.arrays_zip(*arrays)).alias("line", "l")).filter("line < texts")
     quad = lambda poly: quad_to_box(F.transform(poly, point), F.col("width"), F.col("height"))
     boxes = F.transform("l.text_word_region", quad)
     lines = zipped.select("image_id", "line", "l", confidence(F.col("l.rec_scores")).alias("confidence"), quad(F.col("l.rec_polys")).alias("box"), boxes.alias("boxes"))
@@ -61,11 +57,33 @@ def polygon_segments(results: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.col("l.rec_texts").alias("text"), F.col("box").alias("box")))
     parts = F.when(F.coalesce(by_word, F.lit(False)), words).otherwise(whole)
     parts = F.transform(parts, lambda s: F.struct(s["text"].alias("text"), s["box"].alias("box"), F.col("confidence").alias("confidence")))
-    lines = lines.filter(F.col("l.rec_polys").isNotNull()).select("image_id", "line", F.posexplode(parts).alias("word", "s"))
-    rows = lines.select("image_id", "line", "word", "s.text", "s.box", "s.confidence")
+    ok = F.coalesce(by_word, F.lit(False)) | F.col("box").isNotNull()
+    return lines.filter(F.col("l.rec_polys").isNotNull()).select("image_id", "line", parts.alias("parts"), ok.alias("ok"))
+
+
+def polygon_segments(results: DataFrame) -> DataFrame:
+    """Segments of results with parallel arrays of texts, scores and polygons, and perhaps words with regions.
+
+    results: image_id, width, height, rec_texts, rec_scores, rec_polys (arrays of
+    [x, y]; the detector's dt_polys where they are null and that column is there), text_word,
+    text_word_region. A line whose words and regions are equally many gives a segment for each
+    word that isn't blank; with a bad region among them, and otherwise, the line is one
+    segment. A line without polygon is left out; an image with a polygon that can't be read
+    gives no segments at all, see polygon_errors().
+    """
+    lines = _polygon_lines(results)
+    # Whether all of an image's lines are right is asked in the window that numbers them anyway.
+    lines = lines.withColumn("whole", F.min("ok").over(Window.partitionBy("image_id"))).filter("whole")
+    rows = lines.select("image_id", "line", F.posexplode("parts").alias("word", "s")).select("image_id", "line", "word", "s.text", "s.box", "s.confidence")
     return _numbered(rows.filter(F.col("box").isNotNull() & ~blank(F.coalesce("text", F.lit("")))), "line", "word")
 
 
+def polygon_errors(results: DataFrame) -> DataFrame:
+    """(image_id, code, message) of images with a polygon that can't be read."""
+    bad = _polygon_lines(results).groupBy("image_id").agg(F.min("ok").alias("ok")).filter("NOT ok")
+    return bad.select("image_id", F.lit("OCR_FAILED").alias("code"), F.lit("malformed polygon").alias("message"))
+
+
 def _quad_lines(results: DataFrame) -> DataFrame:
     """Each line of nested results with what could be read of it; ok tells whether it is a polygon with a text."""
     lines = F.from_json("body", "array<string>")

@@ -123,19 +123,24 @@ def turned(image: np.ndarray, degrees: float) -> np.ndarray:
     return np.rint(out).astype(np.uint8)
 
 
-def denoised(image: np.ndarray, strength: float = 10.0, patch: int = 1, search: int = 3) -> np.ndarray:
-    """Non-local means over a small window; alpha stays as it is."""
-    body = image[:, :, :3].astype(np.float64)
-    total, weight = np.zeros_like(body), np.zeros((*body.shape[:2], 1))
+def denoised(image: np.ndarray, strength: float = 10.0, patch: int = 3, search: int = 10) -> np.ndarray:
+    """Non-local means: patches of 7 x 7 compared within 21 x 21; alpha stays as it is, and so does an image of one colour."""
+    body = image[:, :, :3].astype(np.float32)
+    if (body == body[:1, :1]).all():
+        return image.copy()
+    total, weight = np.zeros_like(body), np.zeros((*body.shape[:2], 1), np.float32)
     pad = np.pad(body, ((search, search), (search, search), (0, 0)), mode="reflect" if min(body.shape[:2]) > search else "edge")
     size = 2 * patch + 1
     for dy in range(-search, search + 1):
         for dx in range(-search, search + 1):
             other = pad[search + dy : search + dy + body.shape[0], search + dx : search + dx + body.shape[1]]
-            gap = ((body - other) ** 2).mean(axis=2)
-            near = np.pad(gap, patch, mode="edge")
-            gap = sum(near[i : i + gap.shape[0], j : j + gap.shape[1]] for i in range(size) for j in range(size)) / size**2
-            w = np.exp(-gap / strength**2)[..., None]
+            gap = np.pad(((body - other) ** 2).mean(axis=2), patch, mode="edge").astype(np.float64)
+            # Sums over patches from running sums along both axes.
+            for axis in (0, 1):
+                run = np.concatenate([np.zeros_like(gap.take([0], axis)), np.cumsum(gap, axis)], axis)
+                n = run.shape[axis]
+                gap = run.take(range(size, n), axis) - run.take(range(n - size), axis)
+            w = np.exp(-gap / (size * strength) ** 2)[..., None].astype(np.float32)
             total += w * other
             weight += w
     out = image.copy()

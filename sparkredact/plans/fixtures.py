@@ -58,11 +58,13 @@ OUTPUTS = [("a", "p1", 0, ["person_name", "email"]), ("b", "p1", 0, ["person_nam
 #: image_id, body of a result of lines [polygon, [text, score]].
 _QUAD = "[[0,0],[9,0],[9,9],[0,9]]"
 QUAD_RESULTS = [("flat", f'[[{_QUAD},["a b",0.5]],null,[{_QUAD},["c","x"]]]'), ("page", f'[[[{_QUAD},["a",0.25]]]]'), ("bad", f'[[{_QUAD},["a",0.5]],[[],["b",1]]]'), ("empty", "[]")]
-#: image_id, texts, scores, polygons, words, regions of the words.
+#: image_id, texts, scores, polygons, words, regions of the words, polygons of the detector.
 _SQUARE = [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]]
 POLYGON_RESULTS = [
-    ("words", ["a b c"], [0.5], [_SQUARE], [["a", " ", "c"]], [[_SQUARE, _SQUARE, _SQUARE]]),
-    ("unequal", ["a b"], [None], [_SQUARE], [["a", "b"]], [[_SQUARE]]),
-    ("bad", ["a b"], [7.0], [_SQUARE], [["a", "b"]], [[_SQUARE, []]]),
-    ("none", [], [], [], [], []),
+    ("words", ["a b c"], [0.5], [_SQUARE], [["a", " ", "c"]], [[_SQUARE, _SQUARE, _SQUARE]], None),
+    ("unequal", ["a b"], [None], [_SQUARE], [["a", "b"]], [[_SQUARE]], None),
+    ("bad", ["a b"], [7.0], [_SQUARE], [["a", "b"]], [[_SQUARE, []]], None),
+    ("none", [], [], [], [], [], None),
+    ("found", ["d", "no polygon"], [0.25], None, None, None, [_SQUARE]),
+    ("broken", ["e", "f"], [0.5, 0.5], [_SQUARE, []], None, None, None),
 ]

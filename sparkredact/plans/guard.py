@@ -21,7 +21,7 @@ def process(images: DataFrame, segments: DataFrame, layers: list[Layer] | None =
     ready = preprocess.warnings_for(preprocess.with_quality(images, passthrough))
     good = ready.filter("sufficient").select("image_id")
     detected = detect(segments.join(good, "image_id", "left_semi"), layers)
-    made = ready if passthrough else preprocess.prepared(ready)
+    made = preprocess.prepared(ready, passthrough)
     # One row for each image from one pass over its segments: regions, boxes and warnings all come from it.
     found = report.found_by_image(detected)
     rows = made.select("image_id", "height", "width", "channels", "data", "sufficient", "warnings").join(found, "image_id", "left")

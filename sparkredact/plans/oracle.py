@@ -24,6 +24,7 @@ from ..functions.lexicon import (
     THAI_ORG_WORDS,
     TOP_LEVEL_DOMAINS,
 )
+from ..operators.layers import CREDENTIALS
 
 _S_IN = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _S, _NS, _D, _W_IN = f"[{_S_IN}]", f"[^{_S_IN}]", r"\p{Nd}", r"\p{L}\p{N}_"
@@ -178,3 +179,15 @@ def lines_of(table: str, key: str, *keep: str) -> str:
     kept = "".join(f", {c}" for c in keep)
     split = f"SELECT {key}{kept}, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10)))))::INT AS seg_idx FROM {table} WHERE text IS NOT NULL"
     return f"SELECT {key}::VARCHAR AS image_id, seg_idx, t{kept} FROM ({split}) WHERE NOT regexp_matches(t, '^{_S}*$')"
+
+
+def credentials(text: str) -> str:
+    """The list of what the credentials in a text count as; look-around is said by consuming a character."""
+    ahead = {"(?<![A-Za-z0-9])": "(?:^|[^A-Za-z0-9])", "(?<![0-9])": "(?:^|[^0-9])"}
+    after = {"(?![A-Za-z0-9_\\-])": "(?:[^A-Za-z0-9_\\-]|$)", "(?![A-Za-z0-9])": "(?:[^A-Za-z0-9]|$)", "(?![0-9])": "(?:[^0-9]|$)"}
+    tests = []
+    for category, _, pattern in CREDENTIALS:
+        for old, new in (ahead | after).items():
+            pattern = pattern.replace(old, new)
+        tests.append(f"CASE WHEN {_has(pattern, text)} THEN '{category}' END")
+    return f"list_filter([{', '.join(tests)}], lambda c: c IS NOT NULL)"

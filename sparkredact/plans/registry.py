@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import classify, with_flags
+from ..functions.classify import STRUCTURED, classify, with_flags
 from ..functions.lexicon import CATEGORIES
-from ..operators import geometry, layers, llm_reply, ner, ocr, preprocess, report
+from ..operators import geometry, layers, llm_reply, model_layer, ner, ocr, preprocess, report
 from ..sources import uploads
 from ..sources.lines import line_segments, table
-from . import fixtures, guard
-from .oracle import categories, flagged, lines_of, quoted
+from . import fixtures, generated, guard
+from .oracle import categories, credentials, flagged, lines_of, quoted
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -60,15 +60,29 @@ def segments_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(spark, sf_dir).select("image_id", "seg_idx", "text")
 
 
+def made(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """The rows of a query of generated inputs over some tables."""
+    return spark.sql(generated.for_spark(sql).replace("FROM " + tables[0], "FROM {source}"), source=table(spark, sf_dir, tables[0]))
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of documents, and a generated line for each customer."""
+    return document_lines(spark, sf_dir).select("image_id", "seg_idx", "text").unionByName(made(spark, sf_dir, generated.LINES, "customer"))
+
+
+_ALL = f"SELECT image_id, seg_idx, t FROM ({_LINES}) UNION ALL SELECT image_id, seg_idx, text AS t FROM ({generated.LINES})"
+
+
 def _flag(category: str):
     def one(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return with_flags(document_lines(spark, sf_dir)).filter(F.col(f"flags.{category}")).select("image_id", "seg_idx")
+        found = with_flags(all_lines(spark, sf_dir)).select("image_id", "seg_idx", F.col(f"flags.{category}").alias("found"))
+        return layers.held(found).filter("found").select("image_id", "seg_idx")
 
     return one
 
 
 for _category in CATEGORIES:
-    query(f"SELECT image_id, seg_idx FROM ({flagged(_LINES)}) WHERE {_category}", f"flag_{_category}")(_flag(_category))
+    query(f"SELECT image_id, seg_idx FROM ({flagged(_ALL)}) WHERE {_category}", f"flag_{_category}")(_flag(_category))
 
 
 @query(f"SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM ({_FOUND})) GROUP BY category")
@@ -128,9 +142,9 @@ def _named(spark: SparkSession, rows, schema: str) -> DataFrame:
 _KNOWN = "[" + ", ".join(map(quoted, CATEGORIES)) + "]"
 
 
-@query(f"SELECT image_id, seg_idx, string_agg(DISTINCT c, ',' ORDER BY c) AS categories FROM (SELECT image_id, seg_idx, unnest(categories) AS c FROM ({_literals(fixtures.OUTPUTS, 'layer', 'image_id', 'seg_idx', 'categories')})) WHERE list_contains({_KNOWN}, c) GROUP BY image_id, seg_idx")
+@query(f"SELECT image_id, seg_idx, string_agg(DISTINCT c, ',' ORDER BY c) AS categories FROM (SELECT image_id, seg_idx, unnest(string_split(categories, ',')) AS c FROM ({generated.OUTPUTS})) WHERE list_contains({_KNOWN}, c) GROUP BY image_id, seg_idx")
 def layer_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _named(spark, fixtures.OUTPUTS, "layer string, image_id string, seg_idx int, categories array<string>")
+    rows = made(spark, sf_dir, generated.OUTPUTS, "orders").withColumn("categories", F.split("categories", ","))
     return layers.union_of([rows.filter("layer = 'a'").drop("layer"), rows.filter("layer = 'b'").drop("layer")]).withColumn("categories", F.array_join("categories", ","))
 
 
@@ -147,6 +161,56 @@ def fallback_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.warnings_of(found).select("image_id", F.array_join("warnings", "; ").alias("warnings"))
 
 
+#: The categories of patterns alone.
+_OWN = "list_filter(categories, lambda c: NOT list_contains([" + ", ".join(map(quoted, STRUCTURED)) + "], c))"
+
+
+@query(f"SELECT image_id, seg_idx, array_to_string(list_sort(list_distinct(list_concat({_OWN}, CASE WHEN length(t) % 7 <> 0 AND length(t) % 5 = 0 THEN ['secret'] ELSE [] END))), ',') AS categories, length(t) % 7 = 0 AS fallback FROM ({_FOUND})")
+def failing_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The only layer fails for some lines: patterns stand for these, and the lines are marked."""
+
+    def load():
+        def classified(text: str) -> set[str]:
+            if len(text) % 7 == 0:
+                raise ValueError("no answer")
+            return {"secret"} if len(text) % 5 == 0 else set()
+
+        return classified
+
+    found = layers.detect(document_lines(spark, sf_dir), [model_layer.PandasLayer("model", load)])
+    return found.select("image_id", "seg_idx", F.array_join("categories", ",").alias("categories"), "fallback")
+
+
+@query(f"SELECT image_id, seg_idx, array_to_string(list_sort(list_distinct(list_concat(categories, {credentials('t')}))), ',') AS categories, false AS fallback FROM ({categories(_ALL)})")
+def secrets_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials by their issuers' formats beside the patterns; the other layer fails everywhere and is passed over."""
+
+    def load():
+        raise RuntimeError("no model")
+
+    found = layers.detect(all_lines(spark, sf_dir), [layers.StructuredLayer(), layers.SecretsLayer(), model_layer.PandasLayer("broken", load)])
+    return found.select("image_id", "seg_idx", F.array_join("categories", ",").alias("categories"), "fallback")
+
+
+_PAGES_OF_LINES = f"SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY image_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, sum(length(t)) OVER (PARTITION BY image_id) AS total FROM ({_FOUND})"
+
+
+@query(f"SELECT image_id, seg_idx, array_to_string(list_sort(list_distinct(list_concat({_OWN}, CASE WHEN (total + n - 1) % 3 <> 0 AND s < 40 AND 5 < s + length(t) THEN ['organization_name'] ELSE [] END))), ',') AS categories, (total + n - 1) % 3 = 0 AS fallback FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM ({_PAGES_OF_LINES}))")
+def page_recogniser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recogniser of whole pages that finds an organization in characters 5 to 40, and fails for pages of some lengths."""
+
+    def load():
+        def entities(page: str) -> list:
+            if len(page) % 3 == 0:
+                raise model_layer.ModelError("no", 400)
+            return [{"entity_group": "ORG", "score": 0.9, "start": 5, "end": 40}, {"entity_group": "PERSON", "score": 0.3, "start": 0, "end": 9}, "nonsense"]
+
+        return entities
+
+    found = layers.detect(document_lines(spark, sf_dir), [model_layer.NerLayer(load, pause=0)])
+    return found.select("image_id", "seg_idx", F.array_join("categories", ",").alias("categories"), "fallback")
+
+
 _SEGMENTS = _literals(fixtures.PAGES, "image_id", "seg_idx", "text")
 _PLACED = f"SELECT *, coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY image_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM ({_SEGMENTS})"
 
@@ -164,12 +228,12 @@ def _cases(label: str, names: dict[str, str]) -> str:
     return f"CASE upper({label}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
-@query(f"""SELECT p.image_id, p.seg_idx, string_agg(DISTINCT c, ',' ORDER BY c) AS categories FROM ({_PLACED}) p
-JOIN (SELECT image_id, a, z, {_cases('g', ner.GROUPS)} AS c FROM ({_literals(fixtures.ENTITIES, 'image_id', 'g', 'score', 'a', 'z')}) WHERE coalesce(score, 1) >= 0.5 AND z > a) e
-ON p.image_id = e.image_id AND s < z AND a < s + length(coalesce(text, '')) WHERE c IS NOT NULL GROUP BY p.image_id, p.seg_idx""")
+@query(f"""SELECT p.image_id, p.seg_idx, string_agg(DISTINCT c, ',' ORDER BY c) AS categories FROM ({_PAGES_OF_LINES}) p
+JOIN (SELECT image_id, "start" AS a, "end" AS z, {_cases('entity_group', ner.GROUPS)} AS c FROM ({generated.ENTITIES}) WHERE coalesce(score, 1) >= 0.5 AND "end" > "start") e
+ON p.image_id = e.image_id AND s < z AND a < s + length(t) WHERE c IS NOT NULL GROUP BY p.image_id, p.seg_idx""")
 def entity_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = _named(spark, fixtures.ENTITIES, "image_id string, entity_group string, score double, start int, end int")
-    return ner.overlapping(_pages(spark), entities).withColumn("categories", F.array_join("categories", ","))
+    entities = made(spark, sf_dir, generated.ENTITIES, "documents")
+    return ner.overlapping(document_lines(spark, sf_dir), entities).withColumn("categories", F.array_join("categories", ","))
 
 
 @query(f"SELECT seg_idx, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(tags, lambda t: t IS NOT NULL AND t <> 'O' AND contains(t, '-')), lambda t: {_cases('substr(t, strpos(t, chr(45)) + 1)', ner.TAGS)}), lambda c: c IS NOT NULL))), ','), '') AS categories FROM ({_literals(fixtures.TAGS, 'seg_idx', 'tags')})")
@@ -216,11 +280,19 @@ def ocr_quad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.quad_segments(rows).select("image_id", "seg_idx", "text", "confidence")
 
 
-@query(_literals([("words", 0, "a", 0.5), ("words", 1, "c", 0.5), ("unequal", 0, "a b", 0.0), ("bad", 0, "a b", 1.0)], "image_id", "seg_idx", "text", "confidence"))
+def _polygons(spark: SparkSession) -> DataFrame:
+    schema = "image_id string, rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<double>>>, text_word array<array<string>>, text_word_region array<array<array<array<double>>>>, dt_polys array<array<array<double>>>"
+    return _named(spark, fixtures.POLYGON_RESULTS, schema).withColumn("width", F.lit(99)).withColumn("height", F.lit(99))
+
+
+@query(_literals([("broken", "OCR_FAILED", "malformed polygon")], "image_id", "code", "message"))
+def ocr_polygon_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.polygon_errors(_polygons(spark))
+
+
+@query(_literals([("words", 0, "a", 0.5), ("words", 1, "c", 0.5), ("unequal", 0, "a b", 0.0), ("bad", 0, "a b", 1.0), ("found", 0, "d", 0.25)], "image_id", "seg_idx", "text", "confidence"))
 def ocr_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "image_id string, rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<double>>>, text_word array<array<string>>, text_word_region array<array<array<array<double>>>>"
-    rows = _named(spark, fixtures.POLYGON_RESULTS, schema).withColumn("width", F.lit(99)).withColumn("height", F.lit(99))
-    return ocr.polygon_segments(rows).select("image_id", "seg_idx", "text", "confidence")
+    return ocr.polygon_segments(_polygons(spark)).select("image_id", "seg_idx", "text", "confidence")
 
 
 _SIZED = f"SELECT *, height / 11.0 AS d FROM ({_literals(fixtures.SIZES, 'image_id', 'height', 'width')})"

@@ -124,3 +124,34 @@ def test_array_rules(spark):
     rows = [(2, 2, 3, b"0" * 12), (2, 2, 2, b"0" * 8), (0, 2, 3, b""), (2, 2, 3, b"0"), (None, 2, 3, b"0")]
     df = spark.createDataFrame(rows, "h int, w int, c int, d binary")
     assert [r[0] for r in df.select(uploads.pixels_ok(F.col("h"), F.col("w"), F.col("c"), F.col("d"))).collect()] == [True, False, False, False, False]
+
+
+def test_denoising_against_plain_loops():
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (12, 14, 1)).astype(np.uint8)
+    got = preprocess.denoised(image, 20.0, patch=1, search=2)
+    body = image[:, :, 0].astype(float)
+    pad = np.pad(body, 2, mode="reflect")
+    want = np.zeros_like(body)
+    for y in range(12):
+        for x in range(14):
+            total = weight = 0.0
+            for dy in range(-2, 3):
+                for dx in range(-2, 3):
+                    gap = 0.0
+                    for i in (-1, 0, 1):
+                        for j in (-1, 0, 1):
+                            a, b = min(max(y + i, 0), 11), min(max(x + j, 0), 13)
+                            gap += (body[a, b] - pad[a + 2 + dy, b + 2 + dx]) ** 2 / 9
+                    w = np.exp(-gap / 20.0**2)
+                    total += w * pad[y + 2 + dy, x + 2 + dx]
+                    weight += w
+            want[y, x] = total / weight
+    assert np.abs(got[:, :, 0] - want).max() <= 0.51
+
+
+def test_prepared_pages_row_by_row(spark):
+    rows = [("w", 450, 120, 1, bytes([255]) * 54_000), ("small", 40, 40, 1, bytes([255]) * 1600)]
+    got = {r.image_id: r for r in preprocess.prepared(preprocess.with_quality(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert (got["w"].height, got["w"].width, set(bytes(got["w"].data))) == (1650, 440, {255}) and got["w"].residual_skew == 0
+    assert not got["small"].sufficient and bytes(got["small"].data) == rows[1][4]
