@@ -1,14 +1,19 @@
-"""WARC archives: written by Spark's text sink, read by a Python data source.
+"""WARC archives, written and read by a Python data source.
 
-Writing stays in the JVM: a record is a string of headers and payload, and the
-text sink puts the four bytes that end a record after it. So archives go to any
-file system Spark can write, through its commit protocol.
+Writing: a record (headers and payload) is put together in the JVM; each task writes
+its records to files of its own in a folder aside, and only the files of tasks that
+succeeded are moved into place when the job ends. Compressed archives have a gzip member
+for each record, as the format asks, and each member's header tells its length in an
+extra field ("SL": 8 bytes for the member, 8 for what it holds, little-endian).
 
 Reading: ``WarcDataSource`` plans its partitions by file (several small files
 to a partition), takes over predicates on record type and other header
 columns, parses the headers of a record first and passes over the payload of a
-record that isn't wanted: by a seek in a plain file, unread into memory in a
-compressed one. Without the option ``payload`` no payload is read at all.
+record that isn't wanted by a seek: in a plain file by the record's length, in a
+compressed one by the member's, so that no more than the headers is inflated. Compressed
+files without such lengths are read as one stream. Without the option ``payload`` no
+payload is read at all. An archive that ends within a payload that is read, a record without
+a valid Content-Length, and a damaged member are errors.
 
 Defined results: a null html is an empty payload; a null url has no
 WARC-Target-URI and reads back as null; line ends in a url are written as %0D
@@ -24,13 +29,17 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import struct
+import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from .common import fresh_path, table
 
@@ -60,7 +69,7 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
+def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:  # or "none"
     """A record for each row of pages (page_id, url, html): response, or revisit of an equal payload.
 
     The largest page_id of a digest is found by a partial aggregation, so a group
@@ -92,7 +101,61 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T0
         http,
         F.when(revisit, F.lit("")).otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).text(path, compression=compression)
+    pages.sparkSession.dataSource.register(WarcDataSource)
+    rows.select(record.cast("binary").alias("record")).write.format("warc").option("compression", compression).mode("append").save(path)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The files that a task has written."""
+
+    names: list[str]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Records as they come, at most FILE_RECORDS to a file."""
+
+    def __init__(self, options: dict):
+        self.path, self.gzip = options["path"], options.get("compression", "gzip") == "gzip"
+        self.aside = f"{self.path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, aside = _file_system(self.aside)
+        fs.create_dir(aside, recursive=True)
+        names, out, n = [], None, 0
+        for batch in iterator:
+            for record in batch.column(0):
+                if out is None:
+                    names.append(f"part-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}")
+                    out, n = fs.open_output_stream(f"{aside}/{names[-1]}", compression=None), 0
+                raw = record.as_py() + b"\r\n\r\n"
+                out.write(member(raw) if self.gzip else raw)
+                n += 1
+                if n == FILE_RECORDS:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return Written(names)
+
+    def commit(self, messages: list[Written]) -> None:
+        fs, aside = _file_system(self.aside)
+        for name in [n for m in messages if m is not None for n in m.names]:
+            fs.move(f"{aside}/{name}", f"{aside.rsplit('/', 1)[0]}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written]) -> None:
+        fs, aside = _file_system(self.aside)
+        fs.create_dir(aside, recursive=True)
+        fs.delete_dir(aside)
+
+
+def member(raw: bytes) -> bytes:
+    """raw as one gzip member that tells its own length."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(raw) + pack.flush()
+    extra = b"SL" + struct.pack("<HQQ", 16, 12 + 20 + len(body) + 8, len(raw))
+    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
 class FilePart(InputPartition):
@@ -139,8 +202,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path, _ in partition.value:
             with fs.open_input_file(path) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
-                for row in records(stream, self.wanted, self.payload):
+                for row in (compressed if path.endswith(".gz") else records)(raw, self.wanted, self.payload):
                     rows.append({**row, "path": path})
                     held += len(row["payload"] or b"") + 500
                     if held > 8 << 20:
@@ -167,13 +229,17 @@ class _Buffered:
         self.data, self.at = self.data[self.at :] + new, 0
         return bool(new)
 
-    def until(self, mark: bytes) -> bytes | None:
-        """Up to and with mark; None at the end of the stream."""
+    def until(self, mark: bytes, limit: int = 1 << 62) -> bytes | None:
+        """Up to and with mark; None, and nothing is read, where it isn't within limit bytes."""
         start = self.at
         while (found := self.data.find(mark, start)) < 0:
+            if len(self.data) - self.at >= limit:
+                return None
             start = max(0, len(self.data) - self.at - len(mark) + 1)
             if not self._more():
                 return None
+        if found + len(mark) - self.at > limit:
+            return None
         out = self.data[self.at : found + len(mark)]
         self.at = found + len(mark)
         return out
@@ -198,6 +264,46 @@ class _Buffered:
         return self.base + self.at
 
 
+class _Member:
+    """What one gzip member holds, inflated piece by piece; a seek gives up the rest of it."""
+
+    def __init__(self, read: _Buffered, size: int):
+        self.raw, self.left, self.inflate, self.crc = read, size, zlib.decompressobj(-15), 0
+
+    def read(self, _: int) -> bytes:
+        while self.left:
+            piece = self.raw.take(min(self.left, 1 << 14))
+            if not piece:
+                raise ValueError("the archive ends within a member")
+            self.left -= len(piece)
+            out = self.inflate.decompress(piece)
+            self.crc = zlib.crc32(out, self.crc)
+            if not self.left and self.inflate.unused_data[:4] != struct.pack("<I", self.crc):
+                raise ValueError("a member of the archive is damaged")
+            if out:
+                return out
+        return b""
+
+    def seek(self, _: int) -> None:
+        self.raw.skip(self.left)
+        self.left = 0
+
+
+def compressed(raw, wanted: list[tuple[str, frozenset]], payload: bool) -> Iterator[dict]:
+    """The records of a compressed file, member by member where members tell their length, else as one stream."""
+    read = _Buffered(raw)
+    while head := read.take(12):
+        start = read.tell() - len(head)
+        extra = read.take(struct.unpack("<H", head[10:])[0]) if len(head) == 12 and head[:4] == b"\x1f\x8b\x08\x04" else b""
+        if extra[:4] != b"SL\x10\0" or len(extra) != 20:
+            raw.seek(start)
+            yield from records(gzip.GzipFile(fileobj=raw), wanted, payload)
+            return
+        one = _Member(read, struct.unpack("<Q", extra[4:12])[0] - 32)
+        yield from records(one, wanted, payload)
+        one.seek(0)
+
+
 def parse_header(head: bytes) -> dict[str, str]:
     """The named fields of a record's or an HTTP message's header; folded lines are joined, the first of equal names counts."""
     fields: dict[str, str] = {}
@@ -223,7 +329,9 @@ def records(stream, wanted: list[tuple[str, frozenset]], payload: bool) -> Itera
         if not head.startswith(b"WARC/"):
             raise ValueError(f"no WARC record where one should begin: {head[:40]!r}")
         fields = parse_header(head)
-        length = int(fields["content-length"])
+        if not (told := fields.get("content-length", "")).isdecimal():
+            raise ValueError(f"a record without a valid Content-Length: {head[:40]!r}")
+        length = int(told)
         row = {column: fields.get(name) for column, name in _HEADERS.items()}
         if any(row[column] not in values for column, values in wanted):
             read.skip(length)
@@ -231,13 +339,14 @@ def records(stream, wanted: list[tuple[str, frozenset]], payload: bool) -> Itera
         row |= {"content_length": length, "block_offset": read.tell(), "http_header": None, "payload_length": length, "payload": None}
         rest = length
         if (row["content_type"] or "").startswith("application/http") and length:
-            start = read.tell()
-            http = read.until(b"\r\n\r\n") or b""
-            rest = length - (read.tell() - start)
+            http = read.until(b"\r\n\r\n", length) or b""
+            rest = length - len(http)
             row["http_header"] = http.decode("utf-8", "replace")
             row["payload_length"] = int(parse_header(http).get("content-length", rest))
         if payload:
             row["payload"] = read.take(rest)
+            if len(row["payload"]) < rest:
+                raise ValueError("the archive ends within a record")
         else:
             read.skip(rest)
         yield row
@@ -256,6 +365,9 @@ class WarcDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return WarcReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return WarcWriter(self.options)
+
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -1,5 +1,7 @@
 import gzip
 import io
+import random
+import zlib
 
 import pytest
 
@@ -71,6 +73,32 @@ def test_compressed_members_skips_and_folded_headers():
         list(warc.records(io.BytesIO(b"junk\r\n\r\n"), [], True))
 
 
+def test_unwanted_members_are_not_inflated(monkeypatch):
+    record = lambda kind, body: b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(body), body)
+    big = random.Random(1).randbytes(2_000_000)
+    data = warc.member(record(b"response", big)) + warc.member(record(b"revisit", b"x")) + warc.member(record(b"response", b""))
+    assert [gzip.decompress(data)[:8]] == [b"WARC/1.1"]
+    inflated, original = [], warc._Member.read
+    monkeypatch.setattr(warc._Member, "read", lambda self, n: inflated.append(out := original(self, n)) or out)
+    wanted = [("record_type", frozenset(["revisit"]))]
+    assert [r["payload"] for r in warc.compressed(io.BytesIO(data), wanted, True)] == [b"x"]
+    assert sum(map(len, inflated)) < 50_000
+    assert [r["payload"] for r in warc.compressed(io.BytesIO(data), [], True)] == [big, b"x", b""]
+    assert [r["payload_length"] for r in warc.compressed(io.BytesIO(data), [], False)] == [len(big), 1, 0]
+    for bad in (data[: len(data) // 2], data[:1000] + b"\xff\xff" + data[1002:]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.compressed(io.BytesIO(bad), [], True))
+
+
+def test_records_cut_short_or_without_length():
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\n"
+    for bad in (head + b"Content-Length: 100\r\n\r\nshort", head + b"\r\n", head + b"Content-Length: ten\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(bad), [], True))
+    no_blank = head + b"Content-Type: application/http\r\nContent-Length: 6\r\n\r\nHTTP/1\r\n\r\n" + head + b"Content-Length: 2\r\n\r\nok\r\n\r\n"
+    assert [r["payload"] for r in warc.records(io.BytesIO(no_blank), [], True)] == [b"HTTP/1", b"ok"]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op1_warc(spark, str(tmp_path)).count() == 0
