@@ -8,8 +8,9 @@ never counts.
 
 The hash set is broadcast only in blocks of at most ``BLOCK_WORDS`` benchmark
 words: a larger benchmark takes one narrow pass over the documents for each
-block, each adding to the hits so far. Nothing is shuffled, and no block is left
-out.
+block, each adding to the hits so far. A pass but the last is written to the shared
+folder and its broadcast released before the next, so that one block at a time is
+held, however large the benchmark is. Nothing is shuffled, and no block is left out.
 
 Defined results: null or word-less text has no words, no hits and isn't
 contaminated; null or word-less items have no window; items with the same
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import discard, slices, table, written
 
 WINDOW = 13
 #: Benchmark words in one broadcast block; a block takes some 200 bytes a word at most.
@@ -133,12 +134,11 @@ def _scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_words: i
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     head = fields + ", " if fields else ""
     out = source.withColumns({"n_words": F.lit(0), "hit_spans": F.lit([]).cast("array<int>"), "item_ids": F.lit([]).cast("array<bigint>")})
-    held = [spark.sparkContext.broadcast(Windows(block)) for block in blocks(benchmark, block_words)]
-    # Each pass but the last hands the text on; without any window only the words are counted.
-    for k, windows in enumerate(held or [spark.sparkContext.broadcast(Windows([]))]):
-        last = k >= len(held) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], windows=windows, last=last) -> Iterator[pa.RecordBatch]:
+    def scanned(rows: DataFrame, windows, last: bool) -> DataFrame:
+        """rows with what one block adds; each pass but the last hands the text on."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = windows.value
             for batch in batches:
                 for part in slices(batch):
@@ -156,8 +156,19 @@ def _scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_words: i
                     names = [*part.schema.names[:n], "n_words", "hit_spans", "item_ids"]
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *made], names=names)
 
-        out = out.mapInArrow(run, f"{head}{'' if last else 'text string, '}n_words int, hit_spans array<int>, item_ids array<bigint>")
-    return out
+        return rows.mapInArrow(run, f"{head}{'' if last else 'text string, '}n_words int, hit_spans array<int>, item_ids array<bigint>")
+
+    before, waiting = None, []  # without any window only the words are counted
+    for block in blocks(benchmark, block_words):
+        if waiting:
+            held = spark.sparkContext.broadcast(Windows(waiting))
+            out = written(scanned(out, held, False), "decontam")
+            held.destroy()
+            if before is not None:
+                discard(before)
+            before = out
+        waiting = block
+    return scanned(out, spark.sparkContext.broadcast(Windows(waiting)), True)
 
 
 def n_hit() -> Column:
