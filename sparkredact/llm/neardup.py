@@ -70,7 +70,7 @@ _SEED = 20_240_501
 SMALL, FAMILY, BLOCK = 8, 64, 300_000
 #: Comparisons of a block (in arrays) that cost as much as a pair of a key (a row).
 WORTH = 200
-_HASHED = 200_000
+_HASHED = 100_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

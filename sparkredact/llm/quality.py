@@ -43,7 +43,7 @@ STEPS = 4000
 #: Hashed terms: words, word shapes, text statistics.
 WORDS, SHAPES, BANDS = 1024, 512, 64
 TERMS = WORDS + SHAPES + BANDS
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
