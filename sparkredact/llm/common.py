@@ -49,7 +49,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that is read in fewer partitions than there are cores is dealt evenly to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
 def id_bucket(column: str, parts: int = 5) -> Column:
