@@ -147,8 +147,9 @@ class MergeReplay:
         for k, limit in enumerate(limits):
             listed = np.concatenate(index[k])
             while True:
-                listed = np.unique(listed)
-                listed = listed[waiting[listed] < limit]  # what a merge has changed meanwhile is listed anew
+                # What a merge has changed meanwhile is listed anew.
+                listed = np.sort(listed[waiting[listed] < limit])
+                listed = listed[np.diff(listed, prepend=-1) > 0]
                 if not len(listed):
                     break
                 # The lowest rank of each word, and of equal ones the leftmost position.
