@@ -6,9 +6,9 @@ what a text has beyond them, each word once, is joined with the written table of
 counts by word. Both sides are plain shuffles, so adaptive execution splits a word that
 many texts hold although it is none of the most frequent.
 
-Model. Latent states emit classes: each of the ``OWN`` most frequent words, the
+Model. Latent states emit classes: each of the ``KNOWN`` most frequent words, the
 end among them, is a class; other words share ``SHARED`` classes by hash. A word
-beyond the ``OWN`` has the chance (c + 0.5) / (n + 0.5 (v + 1)) within its
+beyond those has the chance (c + 0.5) / (n + 0.5 (v + 1)) within its
 class, n and v being the tokens and distinct words of that class in training; the
 last 0.5 is for words never seen. So the score is a proper probability, and
 needs no table that grows with the vocabulary.
@@ -18,7 +18,8 @@ them; one from the middle of a text begins with the stationary ones of the moves
 doesn't. The first estimate comes from ``BURN_IN`` segments (a bounded sample).
 ``PASSES`` passes of Baum-Welch follow over the segments of ``SEGMENT`` tokens of
 all training texts; each task adds up its expected counts, which are summed by
-class and read once a pass: a table of fixed size.
+class and read once a pass: a table of fixed size. What a class of few tokens says of the
+states is drawn to their overall shares, as if by ``EVIDENCE`` tokens more.
 
 Scores. The forward recursion, scaled at each token, runs over whole texts of any
 length, many texts abreast.
@@ -45,12 +46,15 @@ from pyspark.sql import functions as F
 
 from .common import id_bucket, slices, smallest, table, written
 
-#: Words whose counts are broadcast, words with a class of their own, classes shared by the other words.
-KNOWN, OWN, SHARED = 32_768, 6_000, 2_048
+#: Words at most with a class of their own, whose counts are broadcast, and classes shared by the other words: 16 bits hold a class.
+KNOWN = OWN = 63_488
+SHARED = 2_048
 CLASSES = OWN + SHARED
 STATES, SEGMENT, BURN_IN, BURNS, PASSES = 8, 64, 3_000, 25, 2
 #: Weight of the overall class shares in each state's emissions, and of even moves in the transitions.
 PRIOR, EVEN = 200.0, 5.0
+#: Tokens by which a class's expected counts are drawn to the overall shares of the states.
+EVIDENCE = 2.0
 #: Distinct words that a task holds before it hands its partial counts on.
 HELD = 200_000
 #: The end of a text: no word, as words have no white space.
@@ -94,18 +98,15 @@ class Vocabulary:
 
     def __post_init__(self):
         self.index = {w: i for i, w in enumerate(self.words)}
-        own = np.arange(len(self.words))
-        self.classes = np.array([i if i < OWN else shared_class(w) for i, w in enumerate(self.words)], np.int64)
-        self.log_counts = np.log10(self.counts + 0.5) if len(own) else np.zeros(0)
+        self.log_counts = np.log10(self.counts + 0.5)
         self.log_all = np.log10(self.n + 0.5 * (self.v + 1))
         # What a word of a shared class is divided by; an own class is its word.
         self.log_class = np.concatenate([np.zeros(OWN), np.log10(self.class_n + 0.5 * (self.class_v + 1))])
-        self.log_within = np.where(own < OWN, 0.0, self.log_counts) if len(own) else np.zeros(0)
 
     def shares(self) -> np.ndarray:
         """The share of each class in the training tokens, smoothed so that none is nil."""
         own = np.zeros(OWN)
-        own[: min(OWN, len(self.counts))] = self.counts[:OWN]
+        own[: len(self.counts)] = self.counts
         out = np.concatenate([own, self.class_n]) + np.concatenate([np.where(np.arange(OWN) < max(1, len(self.words)), 0.5, 1e-6), np.full(SHARED, 0.5)])
         return out / out.sum()
 
@@ -127,7 +128,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         words, least = words + n, b
     top = counts.filter(band >= least).collect() if least is not None else []
     top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
-    own = counts.sparkSession.createDataFrame([(r["word"],) for r in top[:OWN]], "word binary")
+    own = counts.sparkSession.createDataFrame([(r["word"],) for r in top], "word binary")
     rest = counts.join(F.broadcast(own), "word", "left_anti").groupBy((F.crc32("word") % SHARED).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     class_n, class_v = np.zeros(SHARED), np.zeros(SHARED)
     for r in rest:
@@ -153,7 +154,7 @@ def sequences(docs: DataFrame, words: Vocabulary, train: Column) -> DataFrame:
                     frequent = ids >= 0
                     seen = ids[frequent]
                     classes = np.empty(len(ids), np.uint16)
-                    classes[frequent] = own.classes[seen]
+                    classes[frequent] = seen
                     others: Counter[bytes] = Counter()
                     if len(seen) < len(ids):
                         rest = [tokens[i] for i in np.flatnonzero(~frequent)]
@@ -163,7 +164,7 @@ def sequences(docs: DataFrame, words: Vocabulary, train: Column) -> DataFrame:
                     out["n_tokens"].append(len(ids))
                     out["n_known"].append(len(seen))
                     out["base"].append(float(own.log_counts[seen].sum() - len(ids) * own.log_all))
-                    out["within"].append(float(own.log_within[seen].sum() - own.log_class[classes].sum()))
+                    out["within"].append(float(-own.log_class[classes].sum()))
                     out["classes"].append(classes.tobytes())
                     out["rare"].append([{"word": w, "n": n} for w, n in others.items()])
                     number += 1
@@ -222,6 +223,8 @@ class Model:
     def estimated(cls, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, shares: np.ndarray) -> Model:
         start = (starts + 1) / (starts.sum() + STATES)
         move = (moves + EVEN / STATES) / (moves.sum(axis=1, keepdims=True) + EVEN)
+        total = emits.sum(axis=1, keepdims=True)
+        emits = total * (emits + EVIDENCE * emits.sum(axis=0) / max(total.sum(), 1.0)) / (total + EVIDENCE)
         emit = (emits + PRIOR * shares[:, None]) / (emits.sum(axis=0) + PRIOR)
         return cls(start, move, emit)
 
@@ -291,10 +294,10 @@ def trained(rows: DataFrame, words: Vocabulary) -> Model:
                         emits += e
             used = np.flatnonzero(emits.any(axis=1))
             keys = np.concatenate([used, CLASSES + np.arange(STATES + 1)])
-            values = np.concatenate([emits[used], moves, starts[None]])
+            values = np.concatenate([emits[used], moves, starts[None]]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(STATES))], names=["k", *(f"s{k}" for k in range(STATES))])
 
-        sums = own.select("classes").mapInArrow(run, "k long, " + ", ".join(f"s{k} double" for k in range(STATES)))
+        sums = own.select("classes").mapInArrow(run, "k long, " + ", ".join(f"s{k} float" for k in range(STATES)))
         found = sums.groupBy("k").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).collect()
         counts = np.zeros((CLASSES + STATES + 1, STATES))
         for r in found:
