@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dialect import any_of
 from .common import table
 from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
@@ -34,17 +35,27 @@ NO_WORD = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 
 
 def _same(words: Column) -> Column:
-    """Equivalent spellings made one; words have two spaces about them, so neighbours share none."""
+    """Equivalent spellings made one; words have two spaces about them, so neighbours share none.
+
+    A text in which one pass finds none of the spellings is left as it is: no replacement would find any either.
+    """
+    same = words
     for old, new in SPELLINGS:
-        words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return words
+        same = F.replace(same, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.when(words.rlike(f" {any_of(old for old, _ in SPELLINGS)} "), same).otherwise(words)
+
+
+def _lowered(text: Column) -> Column:
+    """text with A-Z in lower case and plain quotes and dashes; a text of ASCII alone has no others."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _TYPOGRAPHIC + _UPPER, _PLAIN + _LOWER))
 
 
 def canonical_lines(text: Column) -> Column:
     """The normalised text with its line ends; each line begins and ends with two spaces."""
-    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), _TYPOGRAPHIC, _PLAIN)
+    text = _lowered(F.coalesce(text.cast("string"), F.lit("")))
     text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, ""), LIST_MARK, "")
-    text = F.regexp_replace(F.translate(text, _UPPER, _LOWER), NO_WORD, "  ")
+    text = F.regexp_replace(text, NO_WORD, "  ")
     return _same(F.concat(F.lit("  "), F.replace(text, F.lit("\n"), F.lit("  \n  ")), F.lit("  ")))
 
 
