@@ -85,6 +85,24 @@ def test_forward_and_expected_counts_against_enumeration(monkeypatch):
     assert np.allclose(model.log10(texts[:3]), logs[:3])
 
 
+def test_estimates_are_distributions_and_few_tokens_say_little():
+    shares = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
+    emits = np.zeros((hmm.CLASSES, hmm.STATES))
+    emits[:100] = 50.0
+    emits[7], emits[8] = 0, 0
+    emits[7, 0], emits[8, 0] = 1.0, 4000.0  # seen in one state alone: once, and often
+    model = hmm.Model.estimated(np.ones(hmm.STATES), np.ones((hmm.STATES, hmm.STATES)), emits, shares)
+    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and np.isclose(model.start.sum(), 1)
+    once, often = model.emit[7], model.emit[8]
+    assert once[0] / once[1] < 20 and often[0] / often[1] > 200
+    none = hmm.Model.estimated(np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros_like(emits), shares)
+    assert np.isfinite(none.emit).all() and np.allclose(none.emit.sum(axis=0), 1)
+
+
+def test_a_class_has_room_in_sixteen_bits():
+    assert hmm.CLASSES - 1 <= np.iinfo(np.uint16).max and hmm.KNOWN <= hmm.OWN
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert hmm.op10_hmm(spark, str(tmp_path)).count() == 0

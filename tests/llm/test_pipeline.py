@@ -19,6 +19,7 @@ def write_tables(spark, path):
     passage = prose(40)
     docs += [[200 + i, docs[4 * i + 1][1] + " more words", "en", "s", 0] for i in range(10)]
     docs += [[300, docs[1][1], "en", "s", 0], [1, docs[1][1], "en", "s", 0], [301, passage, "en", "s", 0], [302, prose(60) + ' token = "' + "0123abcd" * 5 + '" ' + prose(30), "en", "s", 0], [303, None, None, None, None], [304, "", "en", "s", 0]]
+    docs += [[305, prose(60_000), "en", "s", 0]]
     for d in docs:
         d[4] = len(d[1]) if d[1] is not None else None
     spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, score string").repartition(3).write.parquet(f"{path}/documents.parquet")
@@ -33,8 +34,9 @@ def test_run_against_plain_python(spark, tmp_path):
     got = {r.doc_id: r for r in rows}
     assert len(got) == len(rows)
     # By hand: capitals go, of copies and near copies the smallest id stays, the passage goes, the secret is a mark.
-    want = {i for i in range(160) if i % 4} | {302, 303, 304}
+    want = {i for i in range(160) if i % 4} | {302, 303, 304, 305}
     assert set(got) == want
+    assert got[305].text == docs[-1][1] and got[305].n_tokens > 60_000
     assert "[SECRET]" in got[302].text and "0123abcd" not in got[302].text and got[302].n_chars == len(got[302].text)
     codec = bpe.Codec(*bpe.tokenizer())
     for i, r in got.items():
