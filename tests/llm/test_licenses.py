@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 
 from sparkredact.llm import licenses
-from sparkredact.llm.license_texts import BSD_3, DIGESTS, MIT, TEXTS, ZLIB
+from sparkredact.llm.license_texts import BSD_3, BSL, DIGESTS, MIT, TEXTS, ZLIB
 
 
 def test_equivalent_copies_match_and_others_do_not(spark):
@@ -22,10 +22,12 @@ def test_equivalent_copies_match_and_others_do_not(spark):
         (None, "Released under the MIT License."),
         (9, "licence " * 50_000),
         (10, "We say: Released under the MIT License."),
+        (11, "Boost Software Licence - Version 1.0 - August 17th, 2003\n\nCopyright 2004 Some One\n\n" + "\n".join(textwrap.wrap(BSL, 70)).replace("NON-INFRINGEMENT", "NONINFRINGEMENT")),
+        (12, BSL),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license_id string").repartition(3)
     got = {(r.doc_id, r.license_id, ",".join(r.notices)) for r in licenses.scan(df).collect()}
-    assert got == {(1, "MIT", ""), (2, "MIT", ""), (3, "MIT", ""), (4, "BSD-3-Clause", ""), (5, None, ""), (6, None, ""), (7, None, "CC-BY-NC-4.0,MIT"), (8, "Zlib", ""), (None, "MIT", "MIT"), (9, None, ""), (10, None, "")}
+    assert got == {(1, "MIT", ""), (2, "MIT", ""), (3, "MIT", ""), (4, "BSD-3-Clause", ""), (5, None, ""), (6, None, ""), (7, None, "CC-BY-NC-4.0,MIT"), (8, "Zlib", ""), (None, "MIT", "MIT"), (9, None, ""), (10, None, ""), (11, "BSL-1.0", ""), (12, "BSL-1.0", "")}
     assert licenses.scan(df).count() == len(rows)
 
 
