@@ -92,12 +92,18 @@ class TableLayer(Layer):
 
 
 class StructuredLayer(Layer):
-    """Cards, addresses, account numbers and wallets after public standards; detect() computes them with the patterns."""
+    """Cards, addresses, account numbers and wallets after public standards; detect() computes them with the patterns.
+
+    apart: card numbers as the SQL looks for them; see detectors.CARD_APART.
+    """
 
     name = "structured"
 
+    def __init__(self, apart: bool = False):
+        self.apart = apart
+
     def categories(self, segments: DataFrame) -> DataFrame:
-        return with_flags(segments.select(*KEYS, "text")).select(*KEYS, categories_of("flags", STRUCTURED).alias("categories"))
+        return with_flags(segments.select(*KEYS, "text"), apart=self.apart).select(*KEYS, categories_of("flags", STRUCTURED).alias("categories"))
 
 
 #: Formats of credentials that their issuers publish, and what they count as.
@@ -162,7 +168,8 @@ def detect(segments: DataFrame, layers: list[Layer] | None = None, use_layers: b
     """
     wanted = list(layers or []) if use_layers else []
     ready = [x for x in wanted if is_available(x)]
-    found = classify(segments, structured=any(isinstance(x, StructuredLayer) for x in ready))
+    structured = [x for x in ready if isinstance(x, StructuredLayer)]
+    found = classify(segments, structured=bool(structured), apart=bool(structured) and all(x.apart for x in structured))
     names = [*segments.columns, "categories"]
     none = F.array().cast("array<string>")
     failed = F.lit(bool(wanted) and not ready)
